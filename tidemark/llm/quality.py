@@ -72,7 +72,7 @@ def rules(m: Column) -> dict[str, Column]:
         "short": m["n_words"] < 50,
         "repetitive": 100 * m["n_repeat_words"] > 50 * m["n_words"],
         "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "repeated_lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+        "repeated_lines": 2 * m["n_dup_lines"] > m["n_lines"],
         "odd_words": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"]),
     }
 
@@ -164,7 +164,7 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text,
         coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
        from d left join ws using (r) left join l using (r) left join rep using (r)),
  f as (select *, n_words < 50 as short, 100 * n_repeat_words > 50 * n_words as repetitive, 10 * n_symbols > n_words as symbols,
-        10 * n_dup_lines > 3 * n_lines as repeated_lines, word_chars < 2 * n_words or word_chars > 14 * n_words as odd_words from m),
+        2 * n_dup_lines > n_lines as repeated_lines, word_chars < 2 * n_words or word_chars > 14 * n_words as odd_words from m),
  h as (select source as host, rule, count(*)::double as n, sum(x::int)::double as k from
         (select source, unnest(['short', 'repetitive', 'symbols', 'repeated_lines', 'odd_words']) as rule, unnest([short, repetitive, symbols, repeated_lines, odd_words]) as x from f where source is not null) group by all),
  s as (select rule, count(*)::double as h, sum(n) as nn, sum(k) as kk, sum(n * n) as n2, sum(k * k / n) as k2 from h group by rule),
