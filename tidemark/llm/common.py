@@ -75,3 +75,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     return [b"" if x is None else x.encode() for x in texts]
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys (nulls are equal) the one whose other columns sort first; columns in df's order."""
+    row = fresh(df, "row")[0]
+    return df.groupBy(*keys).agg(F.min(F.struct(*df.columns)).alias(row)).select(f"{row}.*")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_source_mix": ("mixing", "op1"),
     "op2_simhash": ("neardup", "op2"),
     "op9_zstd_language": ("langid", "op9"),
     "op10_host_rules": ("quality", "op10"),
