@@ -248,7 +248,8 @@ def components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     least = rooted.join(groups, rooted["node"] == groups["fp"]).groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = rooted.join(least, "root").select(F.col("node").alias("fp"), "root", "least_id")
     named = groups.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp")
+    # Read from a table of its own, so that a fingerprint of very many copies is a skewed join and nothing else.
+    return prints.join(common.materialize(named, "named"), "fp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
