@@ -23,7 +23,7 @@ def _run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: getattr(importlib.import_module(f"tidemark.llm.{m}"), f) for k, (m, f) in MODULES.items()}
+    return {k: getattr(importlib.import_module(f"tidemark.llm.{m}"), f) for k, (m, f) in MODULES.items()} | {"pipeline": _run_pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
