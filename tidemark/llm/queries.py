@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op5_signatures": ("media", "op5"),
     "op6_binary_packing": ("packing", "op6"),
     "op1_source_mix": ("mixing", "op1"),
     "op2_simhash": ("neardup", "op2"),
