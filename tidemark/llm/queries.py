@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op3_cross_entropy_difference": ("scoring", "op3"),
     "op8_url_trees": ("urls", "op8"),
     "op5_signatures": ("media", "op5"),
     "op6_binary_packing": ("packing", "op6"),
