@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op7_extendible_shards": ("sharding", "op7"),
     "op4_importance_resampling": ("resampling", "op4"),
     "op3_cross_entropy_difference": ("scoring", "op3"),
     "op8_url_trees": ("urls", "op8"),
