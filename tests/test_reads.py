@@ -1,0 +1,208 @@
+"""Scenarios of ranges, limits, merging, as-of lookups and windows, over small streams."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import index, late, maintenance, reads, routing
+from tidemark.schema import acceptable, quarantined, shard_of
+
+SPAN = 4
+
+
+def stream(spark, *records, jitter=0, floor=None):
+    """records: (key, primary_index) in order of arrival, or (key, primary_index, version)."""
+    rows = [(k, pi, rest[0] if rest else 1, i) for i, (k, pi, *rest) in enumerate(records)]
+    df = spark.createDataFrame(rows, "secondary_index int, primary_index long, version int, arrival_seq long")
+    return routing.route(df, SPAN, jitter, floor)
+
+
+def pis(df, key=None):
+    rows = [r for r in df.collect() if key is None or r["secondary_index"] == key]
+    return [r["primary_index"] for r in sorted(rows, key=lambda r: (r["primary_index"], r["route_rank"], r["arrival_seq"]))]
+
+
+def one(spark, *values, **kw):
+    return stream(spark, *[(1, v) for v in values], **kw)
+
+
+def live(spark, *values, **kw):
+    return routing.live(one(spark, *values, **kw))
+
+
+def routes(df):
+    return [r["route"] for r in df.orderBy("arrival_seq").collect()]
+
+
+def test_range_of_one_key(spark):
+    assert pis(reads.read_range(live(spark, *range(100, 110)), 100, 109, 1)) == list(range(100, 110))
+    assert pis(reads.read_range(live(spark, 100), 200, 300, 1)) == []
+    assert pis(reads.read_range(live(spark, 100), 0, 300, 999)) == []
+    assert pis(reads.read_range(live(spark, *range(100, 120)), 100, 200, 1, 5)) == [100, 101, 102, 103, 104]
+
+
+@pytest.mark.parametrize(("start", "end", "n"), [(100, 300, 3), (200, 300, 2), (100, 200, 2)])
+def test_both_ends_are_included(spark, start, end, n):
+    assert reads.read_range(live(spark, 100, 200, 300), start, end, 1).count() == n
+
+
+def test_versions_stay(spark):
+    df = routing.live(stream(spark, (1, 100, 1), (1, 200, 2)))
+    assert [r["version"] for r in reads.read_range(df, 100, 200, 1).orderBy("primary_index").collect()] == [1, 2]
+
+
+def test_pooled_stops_for_good(spark):
+    seen = []
+
+    def take(row):
+        seen.append(row["primary_index"])
+        return len(seen) < 5
+
+    assert reads.read_range_pooled(live(spark, *range(100, 120), 90), 1, 0, 200, take) == 5
+    assert seen == [90, 100, 101, 102, 103]
+    all_ = []
+    reads.read_range_pooled(live(spark, 100, 200, 300, 150), 1, 100, 300, lambda r: all_.append(r["primary_index"]) or True)
+    assert all_ == [100, 150, 200, 300]
+
+
+def test_late_records_merge(spark):
+    df = one(spark, *range(100, 200, 10), 105, 115, 125)
+    got = reads.read_range(routing.live(df), 100, 200, 1)
+    assert pis(got) == sorted([*range(100, 200, 10), 105, 115, 125])
+    assert routing.ingest_stats(df).first()["late_arrivals"] == 3
+    assert pis(reads.read_range(live(spark, 100, 300, 200), 100, 300, 1, 2)) == [100, 200]
+
+
+def test_several_keys(spark):
+    rows = [(k, 100 + i) for i in range(20) for k in (1, 2)] + [(1, 50), (2, 50)]
+    got = reads.read_range(routing.live(stream(spark, *rows)), 50, 119, [1, 2])
+    assert [len(pis(got, k)) for k in (1, 2)] == [21, 21] and pis(got, 1)[0] == 50
+    rows = [(k, v) for k in (1, 2) for v in [*range(1000, 1010), *range(500, 505)]]
+    got = reads.read_range(routing.live(stream(spark, *rows)), 0, 2000, [1, 2], 3)
+    assert pis(got, 1) == pis(got, 2) == [500, 501, 502]
+    rows = [r for i in range(20) for r in ((1, 100 + 10 * i), (2, 150 + 10 * i))]
+    got = reads.read_range(routing.live(stream(spark, *rows)), 100, 300, [1, 2])
+    assert (len(pis(got, 1)), len(pis(got, 2))) == (20, 16)
+
+
+def test_many_keys_are_a_semi_join(spark):
+    df = routing.live(stream(spark, *[(k, k) for k in range(1500)]))
+    assert reads.read_range(df, 0, 5000, range(1200)).count() == 1200
+    assert reads.read_range(df, 0, 5000, spark.range(3).select(F.col("id").cast("int"))).count() == 3
+
+
+def test_keys_without_records(spark):
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    got = reads.with_empty_keys(reads.read_range(live(spark, 5), 0, 9, [1, 2]), keys)
+    assert {r["secondary_index"]: r["primary_index"] for r in got.collect()} == {1: 5, 2: None}
+    assert reads.nested(live(spark, 5, 3)).first()["records"][0]["primary_index"] == 3
+
+
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [((1000, 970), ["normal", "jitter"]), ((1000, 900), ["normal", "late"]), ((1000, 950), ["normal", "jitter"]), ((1000, 949), ["normal", "late"]), ((1000, 980, 960, 940, 500), ["normal", "jitter", "jitter", "late", "late"])],
+)
+def test_jitter_boundary(spark, values, want):
+    assert routes(one(spark, *values, jitter=50)) == want
+
+
+def test_jitter_is_ordered_on_read(spark):
+    assert pis(reads.read_range(live(spark, 1000, 980, 990, 1010, jitter=50), 975, 1005, 1)) == [980, 990, 1000]
+    assert pis(reads.read_range(live(spark, *range(1000, 1015), 970, jitter=50), 975, 1005, 1)) == list(range(1000, 1006))
+
+
+def test_floor_drops_late_records_only(spark):
+    assert routes(one(spark, 10, 1000, 5, 600, floor=500)) == ["normal", "normal", "dropped", "late"]
+    assert pis(live(spark, 10, 1000, 5, 600, floor=500)) == [10, 600, 1000]
+
+
+def test_equal_indexes_are_both_kept(spark):
+    assert routes(one(spark, 100, 100)) == ["normal", "normal"]
+    assert pis(reads.read_range(live(spark, *range(100, 114), 114, 114), 114, 200, 1)) == [114, 114]
+
+
+def test_extremes(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    assert routes(one(spark, low, high, low, jitter=50)) == ["normal", "normal", "late"]
+    assert routes(one(spark, low, low + 5, low, jitter=50)) == ["normal", "normal", "jitter"]
+    assert pis(reads.read_range(live(spark, 5, 7, jitter=50), 6, high, 1)) == [7]
+    assert reads.read_from_available(live(spark, high - 3, high), [1], 0, 50).count() == 2
+
+
+def test_earliest(spark):
+    rows = [(k, v + i) for k, v in ((1, 200), (2, 100), (3, 300)) for i in range(20)]
+    df = routing.live(stream(spark, *rows))
+    assert reads.earliest(df, [1, 2, 3], 0).first()[0] == 100
+    assert reads.earliest(live(spark, *range(100, 300, 10)), [1], 150).first()[0] == 150
+    assert reads.earliest(live(spark, 300, 100), [1], 0).first()[0] == 100
+    assert reads.earliest(df.limit(0), [1], 0).first()[0] is None
+    assert reads.earliest(routing.live(stream(spark, (5, 10), (5, 5000), (1, 20), (1, 100))), [1, 5], 50).first()[0] == 100
+
+
+def test_window_from_available(spark):
+    df = live(spark, *range(100, 300, 10))
+    got = reads.read_from_available(df, [1], 100, 50)
+    assert {r["range_end"] for r in got.collect()} == {150} and pis(got) == [100, 110, 120, 130, 140, 150]
+    assert reads.range_end(df, [1], 1000, 50).first()[0] == -1 and reads.read_from_available(df, [1], 1000, 50).count() == 0
+    far = routing.live(stream(spark, *[(0, 100 + i) for i in range(20)], *[(4, 1_000_000 + i) for i in range(20)]))
+    assert {r["secondary_index"] for r in reads.read_from_available(far, [0, 4], 0, 3000).collect()} == {0}
+
+
+def test_latest(spark):
+    rows = [(1, v) for v in range(1000, 1100)] + [(2, v) for v in range(5000, 5100)] + [(1, 1050)]
+    got = {r["secondary_index"]: r["primary_index"] for r in reads.read_latest(routing.live(stream(spark, *rows))).collect()}
+    assert got == {1: 1099, 2: 5099}
+    assert reads.read_latest(live(spark, 1000, 980, jitter=50)).first()["primary_index"] == 1000
+    assert reads.read_latest(live(spark, -5, -3)).first()["primary_index"] == -3
+
+
+def test_all_keys_lose_nothing(spark):
+    assert pis(reads.read_range(routing.live(stream(spark, (5, 5000), (1, 1000))), 2000, 6000)) == [5000]
+
+
+def test_index_and_asof(spark):
+    log = routing.logged(one(spark, *range(100, 140)))
+    ix = index.sparse_index(log, SPAN, 16)
+    assert sorted((r["primary_index"], r["addr"]) for r in ix.collect()) == [(100, 0), (115, 15), (131, 31)]
+    assert index.asof_backward(ix, 120).first()["addr"] == 15 and index.asof_backward(ix, 99).count() == 0
+    f = index.asof_forward(ix, 120).first()
+    assert (f["primary_index"], f["addr"]) == (131, 31)
+    probes = spark.createDataFrame([(7, 1, 99), (8, 1, 115), (9, 1, 500), (10, 2, 500)], "id int, secondary_index int, primary_index long")
+    assert {r["id"]: r["addr"] for r in index.asof_join(probes, ix, "id", 10).collect()} == {7: None, 8: 15, 9: 31, 10: None}
+
+
+def test_retention(spark):
+    df = live(spark, *range(100, 140))
+    assert maintenance.retained(df, 120).count() == 20
+    ix = index.sparse_index(routing.logged(one(spark, *range(100, 140))), SPAN, 16)
+    assert maintenance.truncation_points(ix, 120).first()["truncate_until"] == 31
+    assert maintenance.truncation_points(ix, 1000).count() == 0
+    bounds = spark.createDataFrame([(1, 10, 31)], "shard int, begin long, tail long")
+    assert [r["addr"] for r in maintenance.recovered(ix, bounds).collect()] == [15]
+    two = routing.logged(stream(spark, (1, 200), (5, 300), (5, 301)))
+    add = maintenance.floor_reindex(index.sparse_index(two, SPAN, 16), 150).collect()
+    assert [(r["secondary_index"], r["primary_index"], r["addr"]) for r in add] == [(5, 150, 0)]
+
+
+def test_late_store(spark):
+    lt = routing.late(one(spark, 100, 50, 60, 60, 40))
+    assert sorted(r["primary_index"] for r in late.late_range(lt, 50, 60, 1).collect()) == [50, 60, 60]
+    assert late.late_latest(lt).count() == 2
+    assert late.late_earliest(lt, [], 0).first()[0] is None and late.late_earliest(lt, [1], 45).first()[0] == 50
+    assert late.late_purge(lt, 60)[1].first()["remaining"] == 2
+
+
+def test_shards_and_guards(spark):
+    got = spark.createDataFrame([(-1,), (-4,), (6,)], "k int").select(shard_of(F.col("k")).alias("s")).collect()
+    assert [r["s"] for r in got] == [3, 0, 2]
+    with pytest.raises(ValueError, match="power of two"):
+        shard_of(F.col("k"), 3)
+    df = spark.createDataFrame([(bytearray(65_535), 1), (bytearray(65_536), 1), (bytearray(), 1), (None, 1), (bytearray(1), 70_000)], "payload binary, version int")
+    assert [r[0] for r in df.select(acceptable(F.col("payload"))).collect()] == [True, False, True, False, True]
+    good, bad = quarantined(df)
+    assert (good.count(), bad.count()) == (2, 3)
+
+
+def test_adaptive_levels():
+    assert routing.adaptive_levels([2000] * 12) == [6, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8]
+    assert routing.adaptive_levels([0] * 30)[-1] == 0 and routing.adaptive_levels([700] * 9) == [6] * 9
+    assert routing.LEVELS[0] == (16, 8) and routing.LEVELS[-1] == (4096, 2048)

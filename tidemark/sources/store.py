@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.schema import SHARDS, shard_of
 
@@ -69,11 +70,16 @@ class Store:
             out.close()
 
     def _write(self, df: DataFrame) -> Part | None:
-        path = f"{self.base}/data/{uuid.uuid4().hex}"
+        path = f"{self.base}/data/part={uuid.uuid4().hex}"
         df.withColumn("shard", shard_of(F.col("secondary_index"), self.shards)).write.partitionBy("shard").parquet(path)
-        r = self.spark.read.schema(df.schema).parquet(path).agg(F.min("primary_index"), F.max("primary_index"), F.count(F.lit(1))).first()
+        r = self._files(df.schema, [path]).agg(F.min("primary_index"), F.max("primary_index"), F.count(F.lit(1))).first()
         return Part(path, r[0], r[1], r[2]) if r[2] else None
 
+    def _files(self, schema: StructType, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.base}/data").parquet(*paths).select(*schema.names)
+
     def append(self, df: DataFrame, batch: str | None = None) -> None:
         """Adds records. A batch that was added before, by its name, is not added again."""
         self._open()
@@ -89,14 +95,12 @@ class Store:
     def read(self, start: int | None = None, end: int | None = None) -> DataFrame:
         """All records, or those from start to end; parts that lie outside aren't opened."""
         self._open()
-        from pyspark.sql.types import StructType
-
         manifest = self._manifest()
         if manifest["schema"] is None:
             raise ValueError("nothing was ever written")
         schema = StructType.fromJson(manifest["schema"])
         paths = [p["path"] for p in manifest["parts"] if (start is None or p["largest"] >= start) and (end is None or p["least"] <= end)]
-        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        df = self._files(schema, paths)
         if start is not None:
             df = df.where(F.col("primary_index") >= start)
         return df if end is None else df.where(F.col("primary_index") <= end)
@@ -112,9 +116,8 @@ class Store:
             elif p["least"] >= cutoff:
                 kept.append(p)
             else:
-                from pyspark.sql.types import StructType
-
-                part = self._write(self.spark.read.schema(StructType.fromJson(manifest["schema"])).parquet(p["path"]).where(F.col("primary_index") >= cutoff))
+                old = self._files(StructType.fromJson(manifest["schema"]), [p["path"]])
+                part = self._write(old.where(F.col("primary_index") >= cutoff))
                 kept += [vars(part)] if part else []
                 gone += p["rows"] - (part.rows if part else 0)
         if gone:
