@@ -34,7 +34,7 @@ MOST = 2
 BLOCK = 256
 LEAST_BLOCKS = 64
 #: Rows that one window sorts at once, about.
-GROUP = 4_096
+GROUP = 512
 _CHUNK = 65_536
 
 
@@ -127,14 +127,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     counts = points.groupBy("source_no", "span").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("source_no", "span", F.coalesce(F.sum("n").over(_before(["source_no"], "span")), F.lit(0)).alias("base"))
     order = Window.partitionBy("source_no", "span").orderBy("slot")
-    ranked = points.withColumn("r", F.row_number().over(order)).join(base, ["source_no", "span"]).withColumn("rank", F.col("base") + F.col("r") - 1)
+    # Spark takes what is made of the few sources for small, and would broadcast it: these joins are shuffled.
+    ranked = points.withColumn("r", F.row_number().over(order)).join(base.hint("merge"), ["source_no", "span"]).withColumn("rank", F.col("base") + F.col("r") - 1)
     schedule = ranked.select("slot", "source_no", "rank", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"))
     return Mix(plan, documents, schedule, pieces)
 
 
 def taken(m: Mix) -> DataFrame:
     """Words that the schedule takes of each document, repeats counted."""
-    joined = m.pieces.join(m.schedule.select("source_no", "block", "slot"), ["source_no", "block"], "left")
+    joined = m.pieces.join(m.schedule.select("source_no", "block", "slot").hint("merge"), ["source_no", "block"], "left")
     some = joined.groupBy("source_no", "pos", "doc_id", "size").agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(F.lit(0))).alias("taken"))
     none = m.documents.where("size = 0").select("source_no", "pos", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none)
@@ -148,7 +149,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     m = mix(docs)
     key = ["doc_id", "text_hash", "source"]
-    spans = m.pieces.join(m.schedule, ["source_no", "block"]).groupBy(*key, "pos", "size", "epoch")
+    spans = m.pieces.join(m.schedule.hint("merge"), ["source_no", "block"]).groupBy(*key, "pos", "size", "epoch")
     spans = spans.agg(F.min("from_word").alias("a"), F.max(F.col("from_word") + F.col("n_words")).alias("b"))
     names = common.fresh(docs, "mix_id", "mix_hash", "mix_source", "mix_size", "mix_a", "mix_b")
     spans = spans.select(*[F.col(x).alias(y) for x, y in zip([*key, "size", "a", "b"], names, strict=True)])
