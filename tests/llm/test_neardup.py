@@ -1,0 +1,99 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from tests import parity
+from tests.llm import edge
+from tidemark.llm import neardup
+
+
+def fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute(ids, prints):
+    """Smallest id reachable for each row, over links of up to three differing bits."""
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    f = np.array(prints, dtype=np.uint64)
+    for i in range(len(f)):
+        for j in np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= 3):
+            parent[find(i)] = find(i + 1 + int(j))
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_query(spark):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in neardup.op2(spark, parity.SF).collect()}
+    rows = spark.read.parquet(f"{parity.SF}/documents.parquet").collect()
+    prints = [fingerprint(r["text"]) for r in rows]
+    want = brute([r["doc_id"] for r in rows], prints)
+    assert got == {r["doc_id"]: (f"{p:016x}", c) for r, p, c in zip(rows, prints, want, strict=True)}
+
+
+def test_fingerprints():
+    texts = [r[1] or "" for r in edge.ROWS] + ["A b", "a B", "a b c", "x " * 300]
+    assert neardup.fingerprints([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
+
+
+def test_close_pairs_share_a_block():
+    r = random.Random(1)
+    for _ in range(300):
+        d = sum(1 << b for b in r.sample(range(64), 3))
+        k = [i for i, m in enumerate(neardup.MASKS) if d & m == 0]
+        assert k and any(d & m == 0 for m in neardup.FINER[k[0]])
+    assert {bin(m).count("1") for x in neardup.FINER for m in x} <= set(range(51, 56))
+
+
+@pytest.mark.parametrize("bucket", [2, 5, 4096])
+def test_clusters(spark, bucket):
+    """Chains and clouds of fingerprints, with buckets that overflow and ones that don't."""
+    r = random.Random(bucket)
+    prints = [0]
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(r.choice([1, 3, 40])):
+            prints.append(x)
+            for b in r.sample(range(64), r.choice([1, 2, 3, 4, 6])):
+                x ^= 1 << b
+    prints += prints[:7]
+    ids = r.sample(range(10_000), len(prints))
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in zip(ids, prints, strict=True)], "doc_id long, fp long")
+    got = {x["doc_id"]: x["component_id"] for x in neardup.components(df, bucket).collect()}
+    assert got == dict(zip(ids, brute(ids, prints), strict=True))
+
+
+def test_edge_cases(spark, tmp_path):
+    rows = [*edge.ROWS, (30, edge.LONG, "en", "b", 1)]
+    got = neardup.op2(spark, edge.save(spark, rows, tmp_path)).collect()
+    by = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == len(rows)
+    assert (by[2], by[3], by[4], by[6], by[7], by[30], by[1]) == (2, 2, 2, 6, 6, 5, 1)
+    stay = neardup.kept(edge.clashing(spark, rows))
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in stay.collect()) == sorted((i is None, i) for i in (1, 2, 5, 6, None, 8, 9))
+    assert stay.columns == edge.clashing(spark).columns
+    assert neardup.kept(edge.docs(spark, [])).count() == 0
+    assert neardup.op2(spark, edge.save(spark, [], tmp_path / "e")).count() == 0
+
+
+def test_near_copies(spark):
+    r = random.Random(5)
+    words = [f"w{r.randrange(5000)}" for _ in range(3000)]
+    near = words[:]
+    near[1500] = "changed"
+    out = neardup.near_duplicates(edge.docs(spark, [(1, " ".join(words), "en", "s", 1), (2, " ".join(near).upper().lower(), "en", "s", 1), (3, " ".join(words[::-1]), "en", "s", 1)]))
+    assert {x["doc_id"]: x["component_id"] for x in out.collect()} == {1: 1, 2: 1, 3: 3}
