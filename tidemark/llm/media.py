@@ -164,14 +164,24 @@ def _ogg(b: bytes, at: int) -> Found:
     return None
 
 
+_BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"udta", b"meta", b"uuid", b"sidx", b"styp", b"wide")
+
+
 def _mp4(b: bytes, at: int) -> Found:
     i, kinds, data, size = at, set(), -1, 0
     while i + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, i)
-        if n < 8 or i + n > len(b) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"udta", b"meta", b"uuid", b"sidx", b"styp", b"wide"):
-            break
+        head = 8
+        if kind not in _BOXES:
+            break  # what follows the file
+        if n == 1 and i + 16 <= len(b):
+            (n,), head = struct.unpack_from(">Q", b, i + 8), 16
+        elif n == 0:
+            n = len(b) - i  # to the end
+        if n < head or i + n > len(b):
+            return None
         if kind == b"mdat" and data < 0:
-            data, size = i + 8, n - 8
+            data, size = i + head, n - head
         kinds.add(kind)
         i += n
     return (i, data, size) if {b"ftyp", b"moov"} <= kinds else None

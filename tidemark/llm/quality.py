@@ -23,8 +23,8 @@ from tidemark.llm import common
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: A rule's failures over this share of a host's documents, after shrinking, reject the host.
 HOST_LIMIT = 0.5
-#: Bounds of the share of variance that lies between hosts; they bound the prior's strength to 1 .. 9,999 documents.
-RHO = (0.0001, 0.5)
+#: Bounds of the share of variance that lies between hosts; they bound the prior's strength to 4 .. 9,999 documents, so a lone failure condemns no host.
+RHO = (0.0001, 0.2)
 
 
 def measure(text: bytes) -> tuple[int, ...]:
@@ -168,8 +168,8 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text,
  h as (select source as host, rule, count(*)::double as n, sum(x::int)::double as k from
         (select source, unnest(['short', 'repetitive', 'symbols', 'repeated_lines', 'odd_words']) as rule, unnest([short, repetitive, symbols, repeated_lines, odd_words]) as x from f where source is not null) group by all),
  s as (select rule, count(*)::double as h, sum(n) as nn, sum(k) as kk, sum(n * n) as n2, sum(k * k / n) as k2 from h group by rule),
- q as (select rule, kk / nn as mean, 1 / greatest(0.0001, least(0.5, case when kk > 0 and kk < nn and nn - n2 / nn - (h - 1) > 0
-        then ((k2 - kk * kk / nn) / (kk / nn * (1 - kk / nn)) - (h - 1)) / (nn - n2 / nn - (h - 1)) else 0.5 end)) - 1 as strength from s),
+ q as (select rule, kk / nn as mean, 1 / greatest(0.0001, least(0.2, case when kk > 0 and kk < nn and nn - n2 / nn - (h - 1) > 0
+        then ((k2 - kk * kk / nn) / (kk / nn * (1 - kk / nn)) - (h - 1)) / (nn - n2 / nn - (h - 1)) else 0.2 end)) - 1 as strength from s),
  bad as (select distinct host from h join q using (rule) where (k + mean * strength) / (n + strength) > 0.5)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short or repetitive) as base_failed,
  not (short or repetitive or symbols or repeated_lines or odd_words) and bad.host is null as kept

@@ -130,10 +130,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(limit: int = LIMIT) -> str:
     return f"""
-with d as (select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as p from documents),
+with d as (select row_number() over () as r, doc_id, coalesce(strlen(text), 0)::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as p from documents),
  u as (select *, unnest(range(0, {BITS + 1})) as k from d),
  s as (select k, p >> ({BITS} - k)::bigint as leaf, sum(n_bytes)::bigint as shard_bytes, count(*)::bigint as shard_rows from u group by all),
- f as (select u.doc_id, u.n_bytes, u.p, min(u.k) as k from u join s on u.k = s.k and u.p >> ({BITS} - u.k)::bigint = s.leaf and s.shard_bytes <= {limit} group by all)
+ f as (select u.r, u.doc_id, u.n_bytes, u.p, min(u.k) as k from u join s on u.k = s.k and u.p >> ({BITS} - u.k)::bigint = s.leaf and s.shard_bytes <= {limit} group by all)
 select f.doc_id, f.n_bytes, case when f.k = 0 then '' else right(lpad(to_base(s.leaf, 2), {BITS}, '0'), f.k::int) end as shard, f.k::int as local_depth, 0::bigint as page, s.shard_bytes, s.shard_rows
 from f join s on f.k = s.k and f.p >> ({BITS} - f.k)::bigint = s.leaf
 """
