@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -15,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 _local: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,19 +29,42 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _local.setdefault("dir", tempfile.mkdtemp(prefix="tidemark-"))
+    if "dir" not in _local:
+        _local["dir"] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
+    return _local["dir"]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration())
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(jvm, conf) -> None:
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes every table that materialize has written in this process, and says how many there were.
+
+    It runs at the end of the process by itself. Call it in a long session when no frame that an operator returned is
+    needed any more; they read these tables.
+    """
+    n = len(_written)
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration())
+    return n
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
