@@ -128,7 +128,10 @@ def _stream_route(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asof_join(s: SparkSession, d: str) -> DataFrame:
-    return index.asof_join(_src(s, d), _index(s, d), "event_id", HOURS_SPAN)
+    """The index is stored first, as the join reads it twice."""
+    path = _shared(s, "index")
+    _index(s, d).write.parquet(path)
+    return index.asof_join(_src(s, d), s.read.parquet(path), "event_id", HOURS_SPAN)
 
 
 def _latest(s: SparkSession, d: str) -> DataFrame:
