@@ -16,8 +16,24 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute(ids, prints):
-    """Smallest id reachable for each row, over links of up to three differing bits."""
+def wide(text):
+    """The wide fingerprint from its definition, as a number."""
+    words = (text or "").encode().lower().split()
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))} if words else set()
+    out = 0
+    for k in range(1, 9):
+        mixed = []
+        for h in found:
+            x = (h + k * 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            mixed.append(x ^ x >> 31)
+        out = out << 64 | int.from_bytes(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)).to_bytes(8, "little"))
+    return out
+
+
+def brute(ids, prints, wides=None):
+    """Smallest id reachable for each row, over links of up to three differing bits, and 88 of wide fingerprints."""
     parent = list(range(len(prints)))
 
     def find(x):
@@ -30,6 +46,9 @@ def brute(ids, prints):
     for i in range(len(f)):
         for j in np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= 3):
             parent[find(i)] = find(i + 1 + int(j))
+        for j in range(i) if wides else []:
+            if (wides[i] ^ wides[j]).bit_count() <= 88:
+                parent[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
         if d is not None:
@@ -97,3 +116,63 @@ def test_near_copies(spark):
     near[1500] = "changed"
     out = neardup.near_duplicates(edge.docs(spark, [(1, " ".join(words), "en", "s", 1), (2, " ".join(near).upper().lower(), "en", "s", 1), (3, " ".join(words[::-1]), "en", "s", 1)]))
     assert {x["doc_id"]: x["component_id"] for x in out.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def edited(r, words, share):
+    """words, of which a share is another word."""
+    return [f"new{r.randrange(10**6)}" if r.random() < share else w for w in words]
+
+
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_sketch():
+    r = random.Random(2)
+    for n in (0, 1, 4, 5, 6, 40, 9_000):
+        text = " ".join(f"W{r.randrange(700)}" for _ in range(n))
+        got, blocks = neardup.sketch(text.encode())
+        assert int.from_bytes(got) == wide(text) and len(blocks) == 16
+        assert sum(b is not None for b in blocks) == (0 if n == 0 else 1 if n < 6 else pytest.approx(16, abs=14))
+
+
+def test_similar_texts_are_linked():
+    """Of pairs with a five-word similarity of 0.85 or more all but a few share a block and are close, under 0.6 none."""
+    r = random.Random(3)
+    found = {True: [], False: []}
+    for k in range(600):
+        a = [f"w{r.randrange(3000)}" for _ in range(r.choice([60, 200, 900]))]
+        b = edited(r, a, r.choice([0.005, 0.01, 0.1]))
+        x, y = shingles(a), shingles(b)
+        share = len(x & y) / len(x | y)
+        if 0.6 <= share < 0.85:
+            continue
+        (wa, ka), (wb, kb) = (neardup.sketch(" ".join(t).encode()) for t in (a, b))
+        linked = (int.from_bytes(wa) ^ int.from_bytes(wb)).bit_count() <= neardup.FAR and any(p == q is not None for p, q in zip(ka, kb, strict=True))
+        found[share >= 0.85].append(linked)
+    assert len(found[True]) > 150 and sum(found[True]) >= 0.98 * len(found[True])
+    assert len(found[False]) > 150 and not any(found[False])
+
+
+@pytest.mark.parametrize(("bucket", "most"), [(4096, 1 << 20), (3, 1 << 20), (3, 5)])
+def test_wide_clusters(spark, bucket, most):
+    """Groups of near copies, with buckets that are cut finer and ones that are walked in parts."""
+    r = random.Random(7)
+    rows = []
+    for size in (1, 1, 2, 3, 40, 60):
+        base = [f"w{r.randrange(5000)}" for _ in range(400)]
+        rows += [(len(rows) + k, " ".join(edited(r, base, 0.004 if k else 0)), "en", "s", 1) for k in range(size)]
+    prints = edge.docs(spark, rows).select("doc_id", neardup.sketched("text").alias("x")).select("doc_id", "x.*")
+    links = neardup.similar(prints, bucket, most)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.components(prints.select("doc_id", "fp"), 4096, links).collect()}
+    want = brute([x[0] for x in rows], [fingerprint(x[1]) for x in rows], [wide(x[1]) for x in rows])
+    assert got == dict(zip([x[0] for x in rows], want, strict=True))
+    assert len(set(want)) == 6
+
+
+def test_stage_keeps_one_of_near_copies(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    other = [f"w{r.randrange(5000)}" for _ in range(100)]
+    rows = [(k, " ".join(edited(r, base, 0.01)), "en", "s", 1) for k in range(5)] + [(10 + k, " ".join(other + [f"w{r.randrange(5000)}" for _ in range(100)]), "en", "s", 1) for k in range(4)]
+    assert sorted(x["doc_id"] for x in neardup.kept(edge.docs(spark, rows)).collect()) == [0, 10, 11, 12, 13]

@@ -11,6 +11,14 @@ link for each fingerprint joined, never all pairs. A bucket of more than BUCKET
 on to a second round, which cuts its free bits into eight parts of which five must agree: then at most
 13 bits are free, so a bucket holds at most 8,192 fingerprints. No link is lost in either round.
 
+The pipeline's stage asks for more: documents whose five-word shingles have a similarity of 0.8 or more. Three bits of
+64 don't find those (they differ in about ten), and no choice of blocks of 64 bits would at this scale. So there each
+text has a wide fingerprint as well, of 512 bits over its distinct five-word shingles, and two are linked if at most FAR
+bits differ. Blocks for these are samples: the shingles' hashes fall into 16 ranges, and a block is the
+five smallest of a range. A pair of similarity 0.8 agrees on a block with a chance of a third, on one of sixteen with 99.8 %.
+Buckets are walked as above; larger ones are cut finer by asking for a second range's block too, and of one that is
+still over WALK fingerprints the groups found so far meet the next ones by one member each. The stage's links are both kinds.
+
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; a text of fewer
 than three words is one shingle; equal texts share a fingerprint and so a component; a null doc_id is
 never the smallest of its component unless it is alone; an empty table gives an empty result; extra columns
@@ -36,6 +44,12 @@ SEED = 42
 BUCKET = 4_096
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 65_536
+#: Wide fingerprints: words of a shingle, 64-bit words, most bits that differ (similarity 0.8 has 77 of 512 on average, 0.7 has 98, with a deviation of 8).
+WIDE_SHINGLE, WIDE, FAR = 5, 8, 88
+#: Ranges of shingle hashes (a power of two), and hashes of a range that make up its block.
+RANGES, SAMPLE = 16, 5
+#: Wide fingerprints of a bucket that were cut finer and are compared at once.
+WALK = 1 << 20
 
 
 def _signed(x: int) -> int:
@@ -119,6 +133,69 @@ def walk(found: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.nd
     return np.concatenate([empty, *near]), np.concatenate([empty, *far])
 
 
+def sketch(text: bytes) -> tuple[bytes, list[int | None]]:
+    """The wide fingerprint of a UTF-8 text and its sample blocks, null for ranges that none of its shingles fall into."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WIDE), [None] * RANGES
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    spans = zip([0, *ends], ends[min(WIDE_SHINGLE, len(words)) - 1 :], strict=False)
+    h = np.unique(np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans), dtype=np.uint64))
+    salts = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * WIDE, dtype=np.int64)
+    for i in range(0, len(h), CHUNK // WIDE):
+        x = h[i : i + CHUNK // WIDE, None] + salts
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8), axis=1)
+        for j in range(0, len(bits), 255):
+            counts += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    edges = [*np.searchsorted(h, np.arange(RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)), len(h)]
+    blocks = [_signed(xxh64_intdigest(h[a : min(b, a + SAMPLE)].tobytes(), SEED)) if b > a else None for a, b in zip(edges, edges[1:], strict=False)]
+    return np.packbits(2 * counts > len(h)).tobytes(), blocks
+
+
+def sketched(text: Column) -> Column:
+    """A struct (fp, wide, blocks) for each text."""
+
+    @F.arrow_udf("struct<fp:long,wide:binary,blocks:array<long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            b = common.encoded(texts.to_pylist())
+            wide, blocks = list(zip(*map(sketch, b), strict=True)) or ((), ())
+            yield pa.StructArray.from_arrays(
+                [pa.array(fingerprints(b).view(np.int64)), pa.array(wide, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))], ["fp", "wide", "blocks"]
+            )
+
+    return run(text)
+
+
+def walk_wide(fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between the fp of rows whose wide fingerprints (rows of words) are within FAR, as all pairs would join
+    them, and the index of one row of each group."""
+    rest, near, far, heads, queue = np.arange(len(fp)), [fp[:0]], [fp[:0]], [], []
+    left = wide
+    while len(rest):
+        if not queue:
+            heads.append(rest[0])
+            queue.append(rest[0])
+            rest, left = rest[1:], left[1:]
+            continue
+        x = queue.pop()
+        close = np.bitwise_count(left ^ wide[x]).sum(axis=1, dtype=np.int32) <= FAR
+        if close.any():
+            new = rest[close]
+            near.append(np.full(len(new), fp[x]))
+            far.append(fp[new])
+            queue.extend(new)
+            rest, left = rest[~close], left[~close]
+    a, b = np.concatenate(near), np.concatenate(far)
+    return a[a != b], b[a != b], np.array(heads, dtype=np.int64)
+
+
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int32())])
 
 
@@ -206,6 +283,89 @@ def _bucket_links(keyed: DataFrame, masks: list[int] | None, bucket: int | None)
     return keyed.mapInArrow(run, "a long, b long, k int")
 
 
+def _sample_links(keyed: DataFrame, most: int, pass_on: bool) -> DataFrame:
+    """keyed: (k, key, fp, wide), all rows of a bucket in one partition and next to each other.
+
+    Rows (a, b, null) are links. A bucket of over ``most`` rows is passed on as rows (fp, null, k), or else walked in parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = key = fp = np.empty(0, np.int64)
+        wide = np.empty((0, WIDE), np.uint64)
+        passing, full = None, most
+
+        def out(a, b=None, k=None):
+            yield from pa.Table.from_arrays(
+                [pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.nulls(len(a), pa.int32()) if k is None else pa.array(np.full(len(a), k, dtype=np.int32))], schema=_PAIR
+            ).to_batches(max_chunksize=10_000)
+
+        def solve(k, key, fp, wide):
+            """Whole buckets."""
+            starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1])
+            sizes = np.diff(np.concatenate([starts, [len(k)]]))
+            two = starts[sizes == 2]
+            two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int32) <= FAR) & (fp[two] != fp[two + 1])]
+            yield from out(fp[two], fp[two + 1])
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                if pass_on and n > most:
+                    yield from out(fp[s : s + n], None, k[s])
+                else:
+                    while n > most:
+                        a, b, heads = walk_wide(fp[s : s + most], wide[s : s + most])
+                        yield from out(a, b)
+                        if 2 * len(heads) > most:
+                            break
+                        fp[s + most - len(heads) : s + most], wide[s + most - len(heads) : s + most] = fp[s + heads], wide[s + heads]
+                        s, n = s + most - len(heads), n - most + len(heads)
+                    yield from out(*walk_wide(fp[s : s + n], wide[s : s + n])[:2])
+
+        for batch in batches:
+            k, key, fp = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((k, "k"), (key, "key"), (fp, "fp")))
+            wide = np.concatenate([wide, np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, WIDE)])
+            if passing is not None and len(k):
+                other = np.flatnonzero((k != passing[0]) | (key != passing[1]))
+                n = int(other[0]) if len(other) else len(k)
+                yield from out(fp[:n], None, passing[0])
+                k, key, fp, wide = k[n:], key[n:], fp[n:], wide[n:]
+            if not len(k):
+                continue
+            passing = None
+            other = np.flatnonzero((k != k[-1]) | (key != key[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield from solve(k[:last], key[:last], fp[:last], wide[:last])
+            k, key, fp, wide = k[last:], key[last:], fp[last:], wide[last:]
+            if len(k) > most and pass_on:
+                passing = (k[0], key[0])
+                yield from out(fp, None, k[0])
+                k, key, fp, wide = k[:0], key[:0], fp[:0], wide[:0]
+            elif len(k) > (full := full if last == 0 else most):
+                a, b, heads = walk_wide(fp, wide)
+                yield from out(a, b)
+                k, key, fp, wide = k[heads], key[heads], fp[heads], wide[heads]
+                full = max(most, 2 * len(k))  # a bucket of strangers isn't walked again for each batch
+        if len(k):
+            yield from solve(k, key, fp, wide)
+
+    return keyed.mapInArrow(run, "a long, b long, k int")
+
+
+def similar(prints: DataFrame, bucket: int = BUCKET, most: int = WALK) -> DataFrame:
+    """prints: (fp, wide, blocks). Links (a, b) between the fp of rows whose wide fingerprints are close."""
+    rows = common.materialize(prints.select("fp", "wide", "blocks").distinct(), "wide")
+    ordered = lambda x: x.repartition("k", "key").sortWithinPartitions("k", "key")
+    keyed = rows.select("fp", "wide", F.posexplode("blocks").alias("k", "key")).where("key is not null").select("k", "key", "fp", "wide")
+    first = common.materialize(_sample_links(ordered(keyed), bucket, True), "similar")
+    found, large = first.where("k is null").select("a", "b"), first.where("k is not null")
+    if not large.isEmpty():
+        own = F.expr("element_at(blocks, k + 1)")
+        pairs = F.expr("transform(blocks, (x, i) -> if(i = k or x is null, null, named_struct('i', least(i, k) * 100 + greatest(i, k), 'key', if(i < k, xxhash64(x, element_at(blocks, k + 1)), xxhash64(element_at(blocks, k + 1), x)))))")
+        finer = large.select(F.col("a").alias("fp"), "k").distinct().join(rows, "fp").where(own.isNotNull()).select("fp", "wide", F.explode(pairs).alias("x")).where("x is not null")
+        again = finer.select(F.col("x.i").cast("int").alias("k"), "x.key", "fp", "wide").distinct()
+        found = found.unionByName(_sample_links(ordered(again), most, False).select("a", "b"))
+    return found
+
+
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """prints: distinct ``fp``. Distinct links (a > b) in the shared folder."""
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(MASKS)])
@@ -241,10 +401,16 @@ def connect(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """prints: (doc_id, fp, ...), materialized. Adds ``root``, the smallest fingerprint of the component, and ``component_id``."""
+def components(prints: DataFrame, bucket: int = BUCKET, more: DataFrame | None = None) -> DataFrame:
+    """prints: (doc_id, fp, ...), materialized. Adds ``root``, the smallest fingerprint of the component, and ``component_id``.
+
+    more: links (a, b) of fingerprints, in either order, beside those within three bits.
+    """
     groups = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    rooted = common.materialize(connect(links(groups.select("fp"), bucket)), "roots")
+    found = links(groups.select("fp"), bucket)
+    if more is not None:
+        found = found.union(more.select(F.greatest("a", "b"), F.least("a", "b"))).distinct()
+    rooted = common.materialize(connect(found), "roots")
     least = rooted.join(groups, rooted["node"] == groups["fp"]).groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = rooted.join(least, "root").select(F.col("node").alias("fp"), "root", "least_id")
     named = groups.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
@@ -252,18 +418,21 @@ def components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return prints.join(common.materialize(named, "named"), "fp")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id) for each row of docs."""
-    prints = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint(F.col(text)).alias("fp"))
-    return components(common.materialize(prints, "documents"), bucket)
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket: int = BUCKET, wide: bool = False) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) for each row of docs; wide: with the links of wide fingerprints too."""
+    names = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    if not wide:
+        return components(common.materialize(names.select("doc_id", "text_hash", fingerprint(F.col("text")).alias("fp")), "documents"), bucket)
+    prints = common.materialize(names.select("doc_id", "text_hash", sketched(F.col("text")).alias("x")).select("doc_id", "text_hash", "x.*"), "documents")
+    return components(prints.select("doc_id", "text_hash", "fp"), bucket, similar(prints, bucket))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each component the row of the smallest doc_id, with its own columns.
+    """The pipeline's stage: of each component, by both kinds of links, the row of the smallest doc_id, with its own columns.
 
     Of rows with the same doc_id and text, the one that sorts first is kept.
     """
-    found = common.materialize(near_duplicates(docs), "groups")
+    found = common.materialize(near_duplicates(docs, wide=True), "groups")
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.text_hash").alias("stay_hash"))
     stay_id, stay_hash, mark = common.fresh(docs, "stay_id", "stay_hash", "mark")
     stay = stay.select(F.col("stay_id").alias(stay_id), F.col("stay_hash").alias(stay_hash))
