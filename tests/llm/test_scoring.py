@@ -87,3 +87,40 @@ def test_chunks_do_not_change_scores(monkeypatch):
     monkeypatch.setattr(scoring, "CHUNK", 8)
     parts = np.concatenate([scoring.ngrams(texts[i:j])[0] for i, j in scoring.chunks(texts)])
     assert (whole == parts).all() and len(whole) == sum(map(len, texts))
+
+
+def word_loss(texts, vocabulary, text):
+    """The mean loss a word under the word model of texts, by the definition."""
+    pairs, words = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        words.update(w)
+        pairs.update(zip(["", *w], w, strict=False))
+    w, out = text.split(), []
+    for a, b in zip(["", *w], w, strict=False):
+        p = (words[b] + len(words) / vocabulary) / (sum(words.values()) + len(words))
+        after = [n for (x, _), n in pairs.items() if x == a]
+        out.append(-math.log2((pairs[a, b] + len(after) * p) / (sum(after) + len(after)) if after else p))
+    return sum(out) / max(1, len(out))
+
+
+def test_words_by_definition(spark, tmp_path):
+    """Every word counts as it stands, whatever its length and script."""
+    texts = {1: "the cat sat on the mat.", 2: "THE DOG!! ran, 42 times", 3: "  ", 4: None, 5: "чёрный кот и белый кот", 6: "the cat ran", 7: "the cat ran", 8: "commendable commendation the cat"}
+    rows = [(i, t, "en", "s", 1) for i, t in texts.items()] + [(7, texts[7], "en", "s", 1), (None, texts[1], "en", "s", 1)]
+    folder = edge.save(spark, rows, tmp_path)
+    edge.save(spark, [(1, 1, 0), (6, 1, 0), (5, 1, 0)], tmp_path, "doc_id long, quality int, toxic int", "labels")
+    got = scoring.op3(spark, folder).collect()
+    corpus, target = [r[1] for r in rows if r[1]], [texts[1], texts[5], texts[6]]
+    vocabulary = len({w for t in corpus for w in t.split()})
+    assert len(got) == len(rows)
+    for r in got:
+        t = texts[r["doc_id"] or 1] or ""
+        a, b = word_loss(target, vocabulary, t), word_loss(corpus, vocabulary, t)
+        assert abs(r["word_target_loss"] - a) < 1e-4 and abs(r["word_background_loss"] - b) < 1e-4 and abs(r["word_difference"] - a + b) < 1e-4
+
+
+def test_words_without_target(spark, tmp_path):
+    folder = edge.save(spark, edge.ROWS, tmp_path)
+    edge.save(spark, [], tmp_path, "doc_id long, quality int, toxic int", "labels")
+    assert {r["word_difference"] for r in scoring.op3(spark, folder).collect()} == {0.0}

@@ -9,7 +9,13 @@ bytes of other scripts by lead and low bits. Models are of order ORDER with inte
 a model is a dense table of SYMBOLS ** ORDER cells whatever the corpus is: an n-gram has a cell of its own, nothing is
 hashed, pruned or sampled. Counts are taken over all texts, summed in each task and then by cell in a shuffle.
 
-Edge cases: a null or empty text has no tokens, losses and difference 0; a document with several labels belongs to the
+Beside these, the same two models are made of words (runs of anything but ASCII white space, as they stand): each word
+after the one before it, interpolated with the words alone and those with the vocabulary of the whole corpus. Vocabulary,
+contexts and pairs are tables in the shared folder that grow with the corpus; every pair of every text is counted, none
+is pruned. Their losses are joined back to the pairs of each document. Words are told apart by 64-bit hashes, and so are
+pairs where they are joined to documents.
+
+Edge cases: a null or empty text has no tokens, losses and differences 0 (a blank one no words); a document with several labels belongs to the
 target only if every label says so; repeated rows count each and score alike; empty tables give an empty
 result, and an empty target gives differences of 0; extra columns are never read.
 """
@@ -119,6 +125,74 @@ def learn(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (losses(table[1]) if table[1].any() else background).astype(np.float32), background.astype(np.float32)
 
 
+def word_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of each text: index of the text, hash of the word before (of no word, at the start), of the word, and times."""
+    from xxhash import xxh64_intdigest
+
+    ids = {b"": 0}
+    split = [t.split() for t in texts]
+    n = np.array([len(x) for x in split], dtype=np.int64)
+    word = np.fromiter((ids.setdefault(w, len(ids)) for x in split for w in x), dtype=np.int64, count=n.sum())
+    before = np.concatenate([[0], word[:-1]])[: len(word)]
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    pair, place, times = np.unique((np.repeat(np.arange(len(n)), n) * len(ids) + before) * len(ids) + word, return_index=True, return_counts=True)
+    hashes = np.fromiter((xxh64_intdigest(w) for w in ids), dtype=np.uint64, count=len(ids)).view(np.int64)
+    return pair // len(ids) ** 2, hashes[before[place]], hashes[word[place]], times
+
+
+def word_model(texts: DataFrame) -> DataFrame:
+    """texts: (text, target boolean). (pair, target, background): the losses of each pair of words, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, target = common.encoded(batch.column("text").to_pylist()), batch.column("target").to_pylist()
+            for kind in (False, True):
+                rows = [x for x, t in zip(b, target, strict=True) if t == kind]
+                for i, j in chunks(rows):
+                    _, before, word, times = word_pairs(rows[i:j])
+                    yield from pa.Table.from_arrays([pa.array(before), pa.array(word), pa.array(times), pa.array(times * kind)], names=["before", "word", "b", "t"]).to_batches(max_chunksize=100_000)
+
+    pairs = common.materialize(texts.mapInArrow(run, "before long, word long, b long, t long").groupBy("before", "word").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "pairs")
+    words = common.materialize(pairs.groupBy("word").agg(F.sum("b").alias("word_b"), F.sum("t").alias("word_t")), "words")
+    contexts = common.materialize(
+        pairs.groupBy("before").agg(F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("kinds_b"), F.sum("t").alias("all_t"), F.count_if(F.col("t") > 0).alias("kinds_t")), "contexts"
+    )
+    size = words.agg(F.sum("word_b").alias("b"), F.count(F.lit(1)).alias("kinds_b"), F.sum("word_t").alias("t"), F.count_if(F.col("word_t") > 0).alias("kinds_t")).first()
+
+    def loss(k: str) -> Column:
+        one = (F.col(f"word_{k}") + F.lit(size[f"kinds_{k}"] / max(1, size["kinds_b"]))) / F.lit(float(max(1, (size[k] or 0) + size[f"kinds_{k}"])))
+        two = (F.col(k) + F.col(f"kinds_{k}") * one) / (F.col(f"all_{k}") + F.col(f"kinds_{k}"))
+        return (-F.log2(F.when(F.col(f"all_{k}") > 0, two).otherwise(one))).cast("float")
+
+    joined = pairs.join(common.small(words), "word").join(common.small(contexts), "before")
+    out = common.materialize(joined.select(F.xxhash64("before", "word").alias("pair"), loss("t" if size["t"] else "b").alias("target"), loss("b").alias("background")), "word-model")
+    for x in (pairs, words, contexts):
+        common.discard(x)
+    return out
+
+
+def word_scores(keyed: DataFrame, model: DataFrame) -> DataFrame:
+    """keyed: (k1, k2, text). (k1, k2, word_target_loss, word_background_loss), means in bits a word, of texts that have words.
+
+    Rows of one key have one text, so their mean is that text's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, k1, k2 = common.encoded(batch.column("text").to_pylist()), batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            for i, j in chunks(b):
+                row, before, word, times = word_pairs(b[i:j])
+                yield from pa.Table.from_arrays(
+                    [pa.array(k1[i:j][row]), pa.array(k2[i:j][row]), pa.array(before), pa.array(word), pa.array(times.astype(np.int32))], names=["k1", "k2", "before", "word", "n"]
+                ).to_batches(max_chunksize=100_000)
+
+    rows = keyed.mapInArrow(run, "k1 long, k2 int, before long, word long, n int").select("k1", "k2", F.xxhash64("before", "word").alias("pair"), "n")
+    mean = lambda x: (F.sum(F.col("n") * F.col(x).cast("double")) / F.sum("n")).alias(f"word_{x}_loss")
+    out = common.materialize(rows.hint("merge").join(model, "pair").groupBy("k1", "k2").agg(mean("target"), mean("background")), "word-scores")
+    common.discard(model)
+    return out
+
+
 def score(spark: SparkSession, text: Column, target: np.ndarray, background: np.ndarray) -> Column:
     """A struct (n_tokens, target_loss, background_loss, difference); losses are means in bits a token."""
     tables = spark.sparkContext.broadcast(np.stack([target, background]))
@@ -153,4 +227,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = target_ids(common.table(spark, sf_dir, "labels"))
     flagged = docs.join(common.small(ids), docs["doc_id"] == ids["target_id"], "left").select("text", F.col("target_id").isNotNull().alias("target"))
     target, background = learn(flagged)
-    return docs.select("doc_id", score(spark, F.col("text"), target, background).alias("x")).select("doc_id", "x.*")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
+    words = word_scores(keyed.select("k1", "k2", "text"), word_model(flagged))
+    out = keyed.select("doc_id", "k1", "k2", score(spark, F.col("text"), target, background).alias("x")).join(words, ["k1", "k2"], "left")
+    a, b = (F.coalesce(x, F.lit(0.0)) for x in ("word_target_loss", "word_background_loss"))
+    return out.select("doc_id", "x.*", a.alias("word_target_loss"), b.alias("word_background_loss"), (a - b).alias("word_difference"))
