@@ -176,3 +176,27 @@ def test_stage_keeps_one_of_near_copies(spark):
     other = [f"w{r.randrange(5000)}" for _ in range(100)]
     rows = [(k, " ".join(edited(r, base, 0.01)), "en", "s", 1) for k in range(5)] + [(10 + k, " ".join(other + [f"w{r.randrange(5000)}" for _ in range(100)]), "en", "s", 1) for k in range(4)]
     assert sorted(x["doc_id"] for x in neardup.kept(edge.docs(spark, rows)).collect()) == [0, 10, 11, 12, 13]
+
+
+def roots(pairs, ids):
+    """The smallest id that each reaches over the pairs."""
+    least = {i: i for i in ids}
+    while True:
+        now = dict(least)
+        for a, b in pairs:
+            now[a] = now[b] = min(now[a], now[b])
+        if now == least:
+            return [least[i] for i in ids]
+        least = now
+
+
+def prints_of(spark, wides, blocks):
+    rows = [(i, bytearray(w.tobytes()), b) for i, (w, b) in enumerate(zip(wides, blocks, strict=True))]
+    return spark.createDataFrame(rows, "fp long, wide binary, blocks array<long>")
+
+
+def test_large_bucket_needs_no_second_block(spark):
+    """Close texts that agree on one block only are linked, however full its bucket."""
+    blocks = [[7, *(100 * i + k for k in range(1, 16))] for i in range(9)]
+    found = neardup.similar(prints_of(spark, np.zeros((9, 8), np.uint64), blocks), 3).collect()
+    assert roots([(x["a"], x["b"]) for x in found], range(9)) == [0] * 9

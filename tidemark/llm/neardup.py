@@ -16,8 +16,8 @@ The pipeline's stage asks for more: documents whose five-word shingles have a si
 text has a wide fingerprint as well, of 512 bits over its distinct five-word shingles, and two are linked if at most FAR
 bits differ. Blocks for these are samples: the shingles' hashes fall into 16 ranges, and a block is the
 five smallest of a range. A pair of similarity 0.8 agrees on a block with a chance of a third, on one of sixteen with 99.8 %.
-Buckets are walked as above; larger ones are cut finer by asking for a second range's block too, and of one that is
-still over WALK fingerprints the groups found so far meet the next ones by one member each. The stage's links are both kinds.
+Buckets are walked as above, those of over BUCKET fingerprints in a round of their own, whole as well; of one of
+over WALK fingerprints the groups found so far meet the next ones by one member each. The stage's links are both kinds.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; a text of fewer
 than three words is one shingle; equal texts share a fingerprint and so a component; a null doc_id is
@@ -48,7 +48,7 @@ CHUNK = 65_536
 WIDE_SHINGLE, WIDE, FAR = 5, 8, 88
 #: Ranges of shingle hashes (a power of two), and hashes of a range that make up its block.
 RANGES, SAMPLE = 16, 5
-#: Wide fingerprints of a bucket that were cut finer and are compared at once.
+#: Wide fingerprints of a large bucket that are compared at once.
 WALK = 1 << 20
 
 
@@ -358,10 +358,7 @@ def similar(prints: DataFrame, bucket: int = BUCKET, most: int = WALK) -> DataFr
     first = common.materialize(_sample_links(ordered(keyed), bucket, True), "similar")
     found, large = first.where("k is null").select("a", "b"), first.where("k is not null")
     if not large.isEmpty():
-        own = F.expr("element_at(blocks, k + 1)")
-        pairs = F.expr("transform(blocks, (x, i) -> if(i = k or x is null, null, named_struct('i', least(i, k) * 100 + greatest(i, k), 'key', if(i < k, xxhash64(x, element_at(blocks, k + 1)), xxhash64(element_at(blocks, k + 1), x)))))")
-        finer = large.select(F.col("a").alias("fp"), "k").distinct().join(rows, "fp").where(own.isNotNull()).select("fp", "wide", F.explode(pairs).alias("x")).where("x is not null")
-        again = finer.select(F.col("x.i").cast("int").alias("k"), "x.key", "fp", "wide").distinct()
+        again = large.select(F.col("a").alias("fp"), "k").distinct().join(rows, "fp").select("k", F.expr("element_at(blocks, k + 1)").alias("key"), "fp", "wide").where("key is not null")
         found = found.unionByName(_sample_links(ordered(again), most, False).select("a", "b"))
     return found
 
