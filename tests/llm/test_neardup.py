@@ -200,3 +200,11 @@ def test_large_bucket_needs_no_second_block(spark):
     blocks = [[7, *(100 * i + k for k in range(1, 16))] for i in range(9)]
     found = neardup.similar(prints_of(spark, np.zeros((9, 8), np.uint64), blocks), 3).collect()
     assert roots([(x["a"], x["b"]) for x in found], range(9)) == [0] * 9
+
+
+def test_bucket_over_walk_keeps_all_members(spark):
+    """A chain of which only neighbours are close, all in one bucket: no member stands for the others."""
+    wides = np.packbits([[1] * (80 * i) + [0] * (512 - 80 * i) for i in range(7)], axis=1).view(np.uint64)
+    for most in (2, 3, 4):
+        found = neardup.similar(prints_of(spark, wides, [[7] * 16] * 7), 2, most).collect()
+        assert roots([(x["a"], x["b"]) for x in found], range(7)) == [0] * 7

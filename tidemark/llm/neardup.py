@@ -16,8 +16,8 @@ The pipeline's stage asks for more: documents whose five-word shingles have a si
 text has a wide fingerprint as well, of 512 bits over its distinct five-word shingles, and two are linked if at most FAR
 bits differ. Blocks for these are samples: the shingles' hashes fall into 16 ranges, and a block is the
 five smallest of a range. A pair of similarity 0.8 agrees on a block with a chance of a third, on one of sixteen with 99.8 %.
-Buckets are walked as above, those of over BUCKET fingerprints in a round of their own, whole as well; of one of
-over WALK fingerprints the groups found so far meet the next ones by one member each. The stage's links are both kinds.
+Buckets are walked as above, those of over BUCKET fingerprints in a round of their own; one of over WALK there is cut
+into chunks, and each pair of chunks is walked in a bucket of its own, so no link is lost. The stage's links are both kinds.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; a text of fewer
 than three words is one shingle; equal texts share a fingerprint and so a component; a null doc_id is
@@ -48,8 +48,8 @@ CHUNK = 65_536
 WIDE_SHINGLE, WIDE, FAR = 5, 8, 88
 #: Ranges of shingle hashes (a power of two), and hashes of a range that make up its block.
 RANGES, SAMPLE = 16, 5
-#: Wide fingerprints of a large bucket that are compared at once.
-WALK = 1 << 20
+#: Wide fingerprints of a large bucket that are compared at once; of more, each pair of chunks of half as many is.
+WALK = 1 << 15
 
 
 def _signed(x: int) -> int:
@@ -173,14 +173,12 @@ def sketched(text: Column) -> Column:
     return run(text)
 
 
-def walk_wide(fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between the fp of rows whose wide fingerprints (rows of words) are within FAR, as all pairs would join
-    them, and the index of one row of each group."""
-    rest, near, far, heads, queue = np.arange(len(fp)), [fp[:0]], [fp[:0]], [], []
+def walk_wide(fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fp of rows whose wide fingerprints (rows of words) are within FAR, as all pairs would join them."""
+    rest, near, far, queue = np.arange(len(fp)), [fp[:0]], [fp[:0]], []
     left = wide
     while len(rest):
         if not queue:
-            heads.append(rest[0])
             queue.append(rest[0])
             rest, left = rest[1:], left[1:]
             continue
@@ -193,7 +191,7 @@ def walk_wide(fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             queue.extend(new)
             rest, left = rest[~close], left[~close]
     a, b = np.concatenate(near), np.concatenate(far)
-    return a[a != b], b[a != b], np.array(heads, dtype=np.int64)
+    return a[a != b], b[a != b]
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int32())])
@@ -283,16 +281,16 @@ def _bucket_links(keyed: DataFrame, masks: list[int] | None, bucket: int | None)
     return keyed.mapInArrow(run, "a long, b long, k int")
 
 
-def _sample_links(keyed: DataFrame, most: int, pass_on: bool) -> DataFrame:
+def _sample_links(keyed: DataFrame, most: int | None) -> DataFrame:
     """keyed: (k, key, fp, wide), all rows of a bucket in one partition and next to each other.
 
-    Rows (a, b, null) are links. A bucket of over ``most`` rows is passed on as rows (fp, null, k), or else walked in parts.
+    Rows (a, b, null) are links. A bucket of over ``most`` rows, if given, is passed on as rows (fp, null, k).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = key = fp = np.empty(0, np.int64)
         wide = np.empty((0, WIDE), np.uint64)
-        passing, full = None, most
+        passing = None
 
         def out(a, b=None, k=None):
             yield from pa.Table.from_arrays(
@@ -307,17 +305,10 @@ def _sample_links(keyed: DataFrame, most: int, pass_on: bool) -> DataFrame:
             two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int32) <= FAR) & (fp[two] != fp[two + 1])]
             yield from out(fp[two], fp[two + 1])
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if pass_on and n > most:
+                if most is not None and n > most:
                     yield from out(fp[s : s + n], None, k[s])
                 else:
-                    while n > most:
-                        a, b, heads = walk_wide(fp[s : s + most], wide[s : s + most])
-                        yield from out(a, b)
-                        if 2 * len(heads) > most:
-                            break
-                        fp[s + most - len(heads) : s + most], wide[s + most - len(heads) : s + most] = fp[s + heads], wide[s + heads]
-                        s, n = s + most - len(heads), n - most + len(heads)
-                    yield from out(*walk_wide(fp[s : s + n], wide[s : s + n])[:2])
+                    yield from out(*walk_wide(fp[s : s + n], wide[s : s + n]))
 
         for batch in batches:
             k, key, fp = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((k, "k"), (key, "key"), (fp, "fp")))
@@ -335,31 +326,41 @@ def _sample_links(keyed: DataFrame, most: int, pass_on: bool) -> DataFrame:
             if last:
                 yield from solve(k[:last], key[:last], fp[:last], wide[:last])
             k, key, fp, wide = k[last:], key[last:], fp[last:], wide[last:]
-            if len(k) > most and pass_on:
+            if most is not None and len(k) > most:
                 passing = (k[0], key[0])
                 yield from out(fp, None, k[0])
                 k, key, fp, wide = k[:0], key[:0], fp[:0], wide[:0]
-            elif len(k) > (full := full if last == 0 else most):
-                a, b, heads = walk_wide(fp, wide)
-                yield from out(a, b)
-                k, key, fp, wide = k[heads], key[heads], fp[heads], wide[heads]
-                full = max(most, 2 * len(k))  # a bucket of strangers isn't walked again for each batch
         if len(k):
             yield from solve(k, key, fp, wide)
 
     return keyed.mapInArrow(run, "a long, b long, k int")
 
 
+def paired(keyed: DataFrame, most: int) -> DataFrame:
+    """keyed: (k, key, fp, wide). Buckets of over ``most`` rows become one bucket for each pair of their chunks of about half as many rows.
+
+    Any two rows of a bucket meet in one of the new ones, so that walking these joins what walking it would.
+    """
+    half = max(1, most // 2)
+    sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    sizes = common.materialize(sizes.select("k", "key", F.ceil(F.col("n") / half).cast("int").alias("chunks")), "sizes")
+    if sizes.isEmpty():
+        return keyed
+    cut = keyed.join(common.small(sizes), ["k", "key"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(fp, wide), chunks) as int)"))
+    others = F.expr("if(chunks is null, array(key), transform(filter(sequence(0, chunks - 1), x -> x <> own), x -> xxhash64(key, least(x, own), greatest(x, own))))")
+    return cut.select("k", F.explode(others).alias("key"), "fp", "wide")
+
+
 def similar(prints: DataFrame, bucket: int = BUCKET, most: int = WALK) -> DataFrame:
     """prints: (fp, wide, blocks). Links (a, b) between the fp of rows whose wide fingerprints are close."""
     rows = common.materialize(prints.select("fp", "wide", "blocks").distinct(), "wide")
     ordered = lambda x: x.repartition("k", "key").sortWithinPartitions("k", "key")
     keyed = rows.select("fp", "wide", F.posexplode("blocks").alias("k", "key")).where("key is not null").select("k", "key", "fp", "wide")
-    first = common.materialize(_sample_links(ordered(keyed), bucket, True), "similar")
+    first = common.materialize(_sample_links(ordered(keyed), bucket), "similar")
     found, large = first.where("k is null").select("a", "b"), first.where("k is not null")
     if not large.isEmpty():
         again = large.select(F.col("a").alias("fp"), "k").distinct().join(rows, "fp").select("k", F.expr("element_at(blocks, k + 1)").alias("key"), "fp", "wide").where("key is not null")
-        found = found.unionByName(_sample_links(ordered(again), most, False).select("a", "b"))
+        found = found.unionByName(_sample_links(ordered(paired(common.materialize(again, "large"), most)), None).select("a", "b")).distinct()
     return found
 
 
