@@ -78,3 +78,12 @@ def test_held_out_accuracy(spark):
     model = urls.learn(df.withColumn("label", F.when(~F.col("test"), F.col("label"))))
     out = df.where("test").select("label", urls.block_score(F.col("url"), model).alias("p")).collect()
     assert len(out) > 300 and sum((x["p"] >= 0.5) == x["label"] for x in out) / len(out) > 0.98
+
+
+def test_trees_learn_from_domains_of_both_labels_only(spark, monkeypatch):
+    """Thousands of domains of one label beside one of both: all that is fit is of that one, and as much as is asked for."""
+    rows = [(f"http://h.d{i}.{'com' if i % 2 else 'net'}/{k}", i % 2) for i in range(6000) for k in range(2)] + [(f"http://h.both.org/{k}", k % 2) for k in range(100)]
+    fit, features = [], urls.Model.features
+    monkeypatch.setattr(urls.Model, "features", lambda self, found, buckets: fit.extend(found) or features(self, found, buckets))
+    urls.learn(spark.createDataFrame(rows, "url string, label int"), sample_rows=50)
+    assert all("both.org" in u for u in fit) and 30 < len(fit) <= 50

@@ -5,10 +5,10 @@ on labelled URLs: lengths, depth, digit ratio, entropy, parameter counts, and st
 host label, last two, file extension): how many of all URLs have the suffix, and the spread of their lengths. Rates of
 labels by suffix are no features: labels come from rules on suffixes, so such rates would only repeat the rules and
 block whole suffixes of which a few paths are labelled. For the same reason the trees learn from domains that have
-labels of both kinds (from all, if there are none): one with a single label says nothing about its URLs' words. Both
+labels of both kinds, found exactly (from all, if there are none): one with a single label says nothing about its URLs' words. Both
 labels weigh the same in all.
 
-Learning reads a bounded sample: labelled URLs are drawn by hash, SAMPLE_ROWS at most. Suffix statistics cover all
+Learning reads a bounded sample: of the labelled URLs of these domains SAMPLE_ROWS at most are drawn by hash. Suffix statistics cover all
 rows, summed in BUCKETS hashed buckets, so the model has a fixed size.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and no rule; without labels of both kinds
@@ -181,23 +181,22 @@ def learn(urls: DataFrame, url: str = "url", label: str = "label", sample_rows:
     """urls: all URLs, with label 1 (block), 0 (allow) or null (not labelled)."""
     u = urls.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label"))
     u = u.select("url", "label", F.array(*suffixes(host(F.col("url")), path(F.col("url")))).alias("buckets"))
-    known = u.agg(F.count("label").alias("m"), F.avg("label").alias("mean")).first()
+    known = u.agg(F.avg("label").alias("mean")).first()
     n = F.coalesce(F.length("url"), F.lit(0)).cast("double")
-    sums = u.select(n.alias("n"), "label", F.posexplode("buckets").alias("k", "bucket")).groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.min("label").alias("a"), F.max("label").alias("b"))
+    sums = u.select(n.alias("n"), F.posexplode("buckets").alias("k", "bucket")).groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
     table = np.zeros((3, len(SUFFIXES), BUCKETS))
-    mixed = []
     for r in sums.collect():  # at most BUCKETS rows for each suffix
         table[:, r["k"], r["bucket"]] = r["c"], r["s"], r["q"]
-        if SUFFIXES[r["k"]] == "domain" and r["a"] != r["b"] and r["b"] is not None:
-            mixed.append(r["bucket"])
     model = Model(*table, mean=known["mean"] or 0.0)
-    labelled = known["m"]
     if not 0 < model.mean < 1:
         return model
-    if mixed:
-        u = u.where(F.array_contains(F.lit(sorted(mixed)), F.col("buckets")[SUFFIXES.index("domain")]))
+    u = u.where("label is not null").withColumn("domain", F.substring_index(host(F.col("url")), ".", -2))
+    mixed = common.materialize(u.groupBy("domain").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("domain"), "mixed")
+    if not mixed.isEmpty():
+        u = u.join(common.small(mixed), "domain", "left_semi")
+    labelled = u.count()
     place = F.xxhash64("url").cast("double") / F.lit(2.0**64) + 0.5
-    drawn = u.where("label is not null").withColumn("place", place).where(F.col("place") < min(1.0, 1.1 * sample_rows / labelled)).orderBy("place", "url").limit(sample_rows)
+    drawn = u.withColumn("place", place).where(F.col("place") < min(1.0, 1.1 * sample_rows / labelled)).orderBy("place", "url").limit(sample_rows)
     rows = drawn.select("url", "label", "buckets").collect()
     y = np.array([r["label"] for r in rows])
     if len(rows):
