@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests import parity
 from tests.llm import edge
@@ -208,3 +209,29 @@ def test_bucket_over_walk_keeps_all_members(spark):
     for most in (2, 3, 4):
         found = neardup.similar(prints_of(spark, wides, [[7] * 16] * 7), 2, most).collect()
         assert roots([(x["a"], x["b"]) for x in found], range(7)) == [0] * 7
+
+
+def test_links_are_by_exact_similarity(spark):
+    """Pairs of 0.8 to 0.85 are linked, all of them, and pairs of 0.7 to 0.8 are not."""
+    r = random.Random(11)
+    rows, want = [], {}
+    while len(rows) < 240:
+        a = [f"w{r.randrange(3000)}" for _ in range(300)]
+        b = a[:]
+        for k in r.sample(range(300), r.choice([5, 6, 7, 8, 9])):
+            b[k] = f"new{r.randrange(10**6)}"
+        x, y = shingles(a), shingles(b)
+        share = len(x & y) / len(x | y)
+        if not 0.7 <= share < 0.85:
+            continue
+        i = len(rows)
+        want[i + 1] = share >= 0.8
+        rows += [(i, " ".join(a), "en", "s", 1), (i + 1, " ".join(b), "en", "s", 1)]
+    names = edge.docs(spark, rows).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    prints = names.select("doc_id", "text_hash", neardup.sketched("text").alias("x")).select("doc_id", "text_hash", "x.fp")
+    fp = {x["doc_id"]: x["fp"] for x in prints.collect()}
+    pairs = spark.createDataFrame([(fp[i], fp[i + 1]) for i in range(0, len(rows), 2)], "a long, b long")
+    for texts in (2048, 1):
+        found = {frozenset((x["a"], x["b"])) for x in neardup.confirmed(names, prints, pairs, texts).collect()}
+        assert {i: frozenset((fp[i - 1], fp[i])) in found for i in want} == want
+    assert sum(want.values()) > 20 and not all(want.values())

@@ -13,8 +13,9 @@ on to a second round, which cuts its free bits into eight parts of which five mu
 
 The pipeline's stage asks for more: documents whose five-word shingles have a similarity of 0.8 or more. Three bits of
 64 don't find those (they differ in about ten), and no choice of blocks of 64 bits would at this scale. So there each
-text has a wide fingerprint as well, of 512 bits over its distinct five-word shingles, and two are linked if at most FAR
-bits differ. Blocks for these are samples: the shingles' hashes fall into 16 ranges, and a block is the
+text has a wide fingerprint as well, of 512 bits over its distinct five-word shingles, and two are candidates if at most LOOSE
+bits differ. Candidates only tell which texts to compare: in each of their components all pairs are held against the exact
+similarity of their sets of shingles (as 64-bit hashes), and linked from 0.8 on. Blocks for these are samples: the shingles' hashes fall into 16 ranges, and a block is the
 five smallest of a range. A pair of similarity 0.8 agrees on a block with a chance of a third, on one of sixteen with 99.8 %.
 Buckets are walked as above, those of over BUCKET fingerprints in a round of their own; one of over WALK there is cut
 into chunks, and each pair of chunks is walked in a bucket of its own, so no link is lost. The stage's links are both kinds.
@@ -46,8 +47,12 @@ BUCKET = 4_096
 CHUNK = 65_536
 #: Wide fingerprints: words of a shingle, 64-bit words, most bits that differ (similarity 0.8 has 77 of 512 on average, 0.7 has 98, with a deviation of 8).
 WIDE_SHINGLE, WIDE, FAR = 5, 8, 88
+#: Most bits that differ of candidates whose exact similarity is asked for: five deviations over the mean at 0.8.
+LOOSE = 118
 #: Ranges of shingle hashes (a power of two), and hashes of a range that make up its block.
 RANGES, SAMPLE = 16, 5
+#: Candidates are linked from a similarity of so many fifths on. Texts, and bytes of their shingles' hashes, of a chunk that is compared at once.
+FIFTHS, TEXTS, BYTES = 4, 2_048, 16 << 20
 #: Wide fingerprints of a large bucket that are compared at once; of more, each pair of chunks of half as many is.
 WALK = 1 << 15
 
@@ -133,17 +138,24 @@ def walk(found: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.nd
     return np.concatenate([empty, *near]), np.concatenate([empty, *far])
 
 
-def sketch(text: bytes) -> tuple[bytes, list[int | None]]:
-    """The wide fingerprint of a UTF-8 text and its sample blocks, null for ranges that none of its shingles fall into."""
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's five-word shingles."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
-    if not words:
-        return bytes(8 * WIDE), [None] * RANGES
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    spans = zip([0, *ends], ends[min(WIDE_SHINGLE, len(words)) - 1 :], strict=False)
-    h = np.unique(np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans), dtype=np.uint64))
+    spans = zip([0, *ends], ends[min(WIDE_SHINGLE, len(words)) - 1 :], strict=False) if words else ()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans), dtype=np.uint64))
+
+
+def sketch(text: bytes) -> tuple[bytes, list[int | None]]:
+    """The wide fingerprint of a UTF-8 text and its sample blocks, null for ranges that none of its shingles fall into."""
+    from xxhash import xxh64_intdigest
+
+    h = shingle_hashes(text)
+    if not len(h):
+        return bytes(8 * WIDE), [None] * RANGES
     salts = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(64 * WIDE, dtype=np.int64)
     for i in range(0, len(h), CHUNK // WIDE):
@@ -173,8 +185,8 @@ def sketched(text: Column) -> Column:
     return run(text)
 
 
-def walk_wide(fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the fp of rows whose wide fingerprints (rows of words) are within FAR, as all pairs would join them."""
+def walk_wide(fp: np.ndarray, wide: np.ndarray, distance: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fp of rows whose wide fingerprints (rows of words) are within distance, as all pairs would join them."""
     rest, near, far, queue = np.arange(len(fp)), [fp[:0]], [fp[:0]], []
     left = wide
     while len(rest):
@@ -183,7 +195,7 @@ def walk_wide(fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             rest, left = rest[1:], left[1:]
             continue
         x = queue.pop()
-        close = np.bitwise_count(left ^ wide[x]).sum(axis=1, dtype=np.int32) <= FAR
+        close = np.bitwise_count(left ^ wide[x]).sum(axis=1, dtype=np.int32) <= distance
         if close.any():
             new = rest[close]
             near.append(np.full(len(new), fp[x]))
@@ -281,7 +293,7 @@ def _bucket_links(keyed: DataFrame, masks: list[int] | None, bucket: int | None)
     return keyed.mapInArrow(run, "a long, b long, k int")
 
 
-def _sample_links(keyed: DataFrame, most: int | None) -> DataFrame:
+def _sample_links(keyed: DataFrame, most: int | None, distance: int) -> DataFrame:
     """keyed: (k, key, fp, wide), all rows of a bucket in one partition and next to each other.
 
     Rows (a, b, null) are links. A bucket of over ``most`` rows, if given, is passed on as rows (fp, null, k).
@@ -302,13 +314,13 @@ def _sample_links(keyed: DataFrame, most: int | None) -> DataFrame:
             starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1])
             sizes = np.diff(np.concatenate([starts, [len(k)]]))
             two = starts[sizes == 2]
-            two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int32) <= FAR) & (fp[two] != fp[two + 1])]
+            two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int32) <= distance) & (fp[two] != fp[two + 1])]
             yield from out(fp[two], fp[two + 1])
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 if most is not None and n > most:
                     yield from out(fp[s : s + n], None, k[s])
                 else:
-                    yield from out(*walk_wide(fp[s : s + n], wide[s : s + n]))
+                    yield from out(*walk_wide(fp[s : s + n], wide[s : s + n], distance))
 
         for batch in batches:
             k, key, fp = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((k, "k"), (key, "key"), (fp, "fp")))
@@ -351,19 +363,72 @@ def paired(keyed: DataFrame, most: int) -> DataFrame:
     return cut.select("k", F.explode(others).alias("key"), "fp", "wide")
 
 
-def similar(prints: DataFrame, bucket: int = BUCKET, most: int = WALK) -> DataFrame:
-    """prints: (fp, wide, blocks). Links (a, b) between the fp of rows whose wide fingerprints are close."""
+def similar(prints: DataFrame, bucket: int = BUCKET, most: int = WALK, distance: int = FAR) -> DataFrame:
+    """prints: (fp, wide, blocks). Links (a, b) between the fp of rows whose wide fingerprints are within distance."""
     rows = common.materialize(prints.select("fp", "wide", "blocks").distinct(), "wide")
     ordered = lambda x: x.repartition("k", "key").sortWithinPartitions("k", "key")
     keyed = rows.select("fp", "wide", F.posexplode("blocks").alias("k", "key")).where("key is not null").select("k", "key", "fp", "wide")
-    first = common.materialize(_sample_links(ordered(keyed), bucket), "similar")
+    first = common.materialize(_sample_links(ordered(keyed), bucket, distance), "similar")
     found, large = first.where("k is null").select("a", "b"), first.where("k is not null")
     if not large.isEmpty():
         again = large.select(F.col("a").alias("fp"), "k").distinct().join(rows, "fp").select("k", F.expr("element_at(blocks, k + 1)").alias("key"), "fp", "wide").where("key is not null")
-        found = found.unionByName(_sample_links(ordered(paired(common.materialize(again, "large"), most)), None).select("a", "b")).distinct()
+        found = found.unionByName(_sample_links(ordered(paired(common.materialize(again, "large"), most)), None, distance).select("a", "b")).distinct()
     return found
 
 
+def walk_sets(fp: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fp of rows whose sets have a similarity of FIFTHS or more, as all pairs would join them."""
+    size = np.array([len(x) for x in sets])
+    fp, sets, size = fp[size > 0], [x for x in sets if len(x)], size[size > 0]
+    near, far = [fp[:0]], [fp[:0]]
+    if len(fp) > 1:
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        begin = np.cumsum(size) - size
+        has = np.zeros(codes.max() + 1, dtype=bool)
+        rest, queue = np.arange(len(fp)), []
+        while len(rest):
+            if not queue:
+                queue.append(rest[0])
+                rest = rest[1:]
+                continue
+            x = queue.pop()
+            own = codes[begin[x] : begin[x] + size[x]]
+            has[own] = True
+            could = rest[(5 * np.minimum(size[rest], size[x]) >= FIFTHS * np.maximum(size[rest], size[x]))]
+            both = np.array([np.count_nonzero(has[codes[begin[r] : begin[r] + size[r]]]) for r in could], dtype=np.int64)
+            has[own] = False
+            new = could[5 * both >= FIFTHS * (size[could] + size[x] - both)]
+            near.append(np.full(len(new), fp[x]))
+            far.append(fp[new])
+            queue.extend(new)
+            rest = rest[~np.isin(rest, new)]
+    a, b = np.concatenate(near), np.concatenate(far)
+    return a[a != b], b[a != b]
+
+
+def confirmed(names: DataFrame, prints: DataFrame, candidates: DataFrame, texts: int = TEXTS) -> DataFrame:
+    """names: (text_hash, text); prints: (text_hash, fp). Links (a, b) of the fp of texts of a similarity of 0.8 or more, within the components of candidates."""
+
+    @F.arrow_udf("binary")
+    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_hashes(x).tobytes() for x in common.encoded(batch.to_pylist())], pa.binary())
+
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = walk_sets(rows.column("fp").to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in rows.column("hashes").to_pylist()])
+        return pa.table({"a": a, "b": b})
+
+    loose = connect(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    members = common.materialize(prints.select("text_hash", "fp").distinct().join(loose.withColumnRenamed("node", "fp"), "fp"), "members")
+    sets = names.select("text_hash", "text").join(common.small(members), "text_hash").select("root", "fp", "text_hash", hashes("text").alias("hashes"))
+    sets = common.materialize(sets.dropDuplicates(["fp", "text_hash"]), "shingles")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / texts), F.ceil(F.sum(F.octet_length("hashes")) / BYTES), F.lit(1)).cast("int")
+    sizes = common.materialize(sets.groupBy("root").agg(chunks.alias("chunks")), "sizes")
+    cut = sets.join(common.small(sizes), "root").withColumn("own", F.expr("cast(pmod(xxhash64(text_hash), chunks) as int)"))
+    pairs = F.expr("if(chunks = 1, array(0L), transform(filter(sequence(0, chunks - 1), x -> x <> own), x -> least(x, own) * 4294967296L + greatest(x, own)))")
+    return cut.select("root", F.explode(pairs).alias("part"), "fp", "hashes").groupBy("root", "part").applyInArrow(run, "a long, b long")
+
+
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """prints: distinct ``fp``. Distinct links (a > b) in the shared folder."""
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(MASKS)])
@@ -422,7 +487,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if not wide:
         return components(common.materialize(names.select("doc_id", "text_hash", fingerprint(F.col("text")).alias("fp")), "documents"), bucket)
     prints = common.materialize(names.select("doc_id", "text_hash", sketched(F.col("text")).alias("x")).select("doc_id", "text_hash", "x.*"), "documents")
-    return components(prints.select("doc_id", "text_hash", "fp"), bucket, similar(prints, bucket))
+    return components(prints.select("doc_id", "text_hash", "fp"), bucket, confirmed(names, prints, similar(prints, bucket, distance=LOOSE)))
 
 
 def kept(docs: DataFrame) -> DataFrame:
