@@ -33,8 +33,14 @@ def wide(text):
     return out
 
 
-def brute(ids, prints, wides=None):
-    """Smallest id reachable for each row, over links of up to three differing bits, and 88 of wide fingerprints."""
+def shingle_set(text):
+    """The five-word shingles of a text, or all its words if they are fewer."""
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(ids, prints, wides=None, sets=()):
+    """Smallest id reachable for each row, over links of up to three differing bits, and 88 of wide fingerprints or a similarity of 0.8 of sets."""
     parent = list(range(len(prints)))
 
     def find(x):
@@ -50,6 +56,9 @@ def brute(ids, prints, wides=None):
         for j in range(i) if wides else []:
             if (wides[i] ^ wides[j]).bit_count() <= 88:
                 parent[find(i)] = find(j)
+        for j in range(i) if sets else []:
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
         if d is not None:

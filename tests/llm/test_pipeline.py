@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm import edge
-from tests.llm.test_neardup import brute, fingerprint, wide
+from tests.llm.test_neardup import brute, fingerprint, shingle_set
 from tests.llm.test_packing import check
 from tests.llm.test_quality import brute as measures
 from tidemark.llm import common
@@ -33,7 +33,7 @@ def test_stages(spark):
     kept = inputs["simhash near-dedup"]
     assert set(kept) <= set(passed) and len(kept) >= 0.98 * len(passed)
 
-    least = brute([r[0] for r in kept], [fingerprint(r[1]) for r in kept], [wide(r[1]) for r in kept])
+    least = brute([r[0] for r in kept], [fingerprint(r[1]) for r in kept], sets=[shingle_set(r[1]) for r in kept])
     assert sorted(r for r, c in zip(kept, least, strict=True) if r[0] == c) == sorted(inputs["source mix"])
 
     size = Counter()

@@ -13,7 +13,10 @@ def sized(spark, sf="/root/testdata/sf0.01"):
 
 
 def test_query_and_sql(spark):
-    assert parity.same(sharding.op7(spark, parity.SF), sharding.OP7_SQL) == 200
+    for sf, n in ((parity.SF, 200), ("/root/testdata/sf0.01", 1000)):
+        out = common.materialize(sharding.op7(spark, sf), "test")
+        assert parity.same(out, sharding.OP7_SQL, sf) == n
+        assert out.select("shard").distinct().count() >= 16 and out.select("local_depth").distinct().count() > 1
 
 
 @pytest.mark.parametrize("limit", [40_000, 300_000])

@@ -1,13 +1,16 @@
 """Quality rules with host verdicts.
 
-Each document is measured and held against rules. Failures are then summed by host; each host's rate
-is shrunk towards the mean of all hosts by a beta prior whose strength is estimated from the hosts
-themselves (moments of the beta-binomial), and a host that most probably fails more than it passes
-is rejected with all its documents.
-
-Edge cases: a null text counts as empty and so fails ``short``; a null host has no host verdict;
-repeated rows are each judged and each counted; an empty table gives an empty result; columns of the
-input other than the text and the host are never read.
+Each document is measured and held against rules. Failures are then summed by host and rule, and each rate is shrunk
+towards the mean of all hosts by a beta prior whose strength is estimated from the hosts themselves (moments of the
+beta-binomial). The shrunk rate is the prior probability that a document of the host is bad by that rule. A failed
+rule is evidence of EVIDENCE to one, so a document that fails it goes where the posterior is over one half: a host that
+all but never fails a rule gets the benefit of the doubt, others don't. A host whose shrunk rate of a rule is itself
+over one half is rejected with all its documents, those that fail nothing too. These verdicts, one row a host, are
+joined back to the documents; apart from the two base rules nothing else rejects a document.
+
+Edge cases: a null text counts as empty and so fails ``short``; a null host is held to the mean of the known ones (to
+the base rules alone if there are none) and is never rejected as a whole; repeated rows are each judged and each
+counted; an empty table gives an empty result; columns of the input other than the text and the host are never read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from tidemark.llm import common
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: A rule's failures over this share of a host's documents, after shrinking, reject the host.
 HOST_LIMIT = 0.5
+#: How much likelier a bad document fails a rule than a good one: with the limit of one half, rules count from a shrunk rate of 1 in 401 on.
+EVIDENCE = 400
 #: Bounds of the share of variance that lies between hosts; they bound the prior's strength to 4 .. 9,999 documents, so a lone failure condemns no host.
 RHO = (0.0001, 0.2)
 
@@ -110,45 +115,49 @@ def host_rates(judged: DataFrame, host: str, fails: str) -> DataFrame:
     return tall.join(F.broadcast(prior), "rule").withColumn("rate", (F.col("k") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength")))
 
 
-def bad_hosts(judged: DataFrame, host: str, fails: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """The rejected hosts, in the shared folder: a column ``bad_host``."""
-    rates = host_rates(judged, host, fails).where(F.col("rate") > limit)
-    return common.materialize(rates.select(F.col("host").alias("bad_host")).distinct(), "hosts")
+def verdicts(judged: DataFrame, host: str, fails: str, limit: float = HOST_LIMIT, evidence: float = EVIDENCE) -> DataFrame:
+    """One row for each host in the shared folder: ``host``, whether it is rejected (``bad``), and the rules that count for it (``strict``).
+
+    The row of the null host has the verdicts of the mean rates.
+    """
+    rates = common.materialize(host_rates(judged, host, fails).select("host", "rule", "rate", "mean"), "rates")
+    mean = rates.groupBy("rule").agg(F.max("mean").alias("rate"))
+    every = rates.select("host", "rule", "rate").unionByName(mean.select(F.lit(None).cast(rates.schema["host"].dataType).alias("host"), "rule", "rate"))
+    counts = F.col("rate") * evidence > 1 - F.col("rate")
+    bad = F.col("host").isNotNull() & F.max(F.col("rate") > limit)
+    out = every.groupBy("host").agg(bad.alias("bad"), F.collect_set(F.when(counts, F.col("rule"))).alias("strict"))  # at most as many as there are rules
+    return common.materialize(out, "hosts")
 
 
-def host_filter(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """docs with ``measures``, ``fails`` and boolean ``host_bad`` (named as in judge_documents).
+def host_filter(judged: DataFrame, fails: str = "fails", host: str = "source", limit: float = HOST_LIMIT, evidence: float = EVIDENCE) -> DataFrame:
+    """judged, which is materialized, with booleans ``host_bad`` and ``passes``, named with underscores appended where it has such columns.
 
-    Texts are measured once to sum up the hosts and once more to join the verdicts back; nothing but
-    the hosts' sums is shuffled as long as few hosts are rejected.
+    ``passes``: the host isn't rejected, and of the rules that count for it the document fails none, nor a base rule.
     """
-    judged = judge_documents(docs, text)
-    narrow = judge_documents(docs.select(F.col(text).alias("text"), F.col(host).alias("host")))
-    bad = bad_hosts(narrow, "host", "fails", limit)
-    flag, name = common.fresh(judged, "host_bad", "bad_host")
-    joined = judged.join(common.small(bad.withColumnRenamed("bad_host", name)), F.col(host) == F.col(name), "left")
-    return joined.withColumn(flag, F.col(name).isNotNull()).drop(name)
+    flag, ok, name, strict = common.fresh(judged, "host_bad", "passes", "verdict_host", "strict")
+    v = verdicts(judged, host, fails, limit, evidence).select(F.col("host").alias(name), F.col("bad").alias(flag), F.col("strict").alias(strict))
+    joined = judged.join(common.small(v), F.col(host).eqNullSafe(F.col(name)), "left")
+    passes = ~F.coalesce(F.col(flag), F.lit(False))
+    for r in RULES:
+        counts = F.lit(True) if r in BASE else F.coalesce(F.array_contains(strict, r), F.lit(False))
+        passes &= ~(F.col(fails)[r] & counts)
+    return joined.withColumn(ok, passes).withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(name, strict)
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that pass every rule, of hosts that aren't rejected, with their own columns."""
-    columns = docs.columns
-    m, f = common.fresh(docs, "measures", "fails")
-    out = host_filter(docs)
-    flag = common.fresh(docs, m, f, "host_bad")[-1]
-    ok = ~F.col(flag)
-    for r in RULES:
-        ok &= ~F.col(f)[r]
-    return out.where(ok).select(*columns)
+    """The pipeline's stage: documents that pass, with their own columns."""
+    _, f = common.fresh(docs, "measures", "fails")
+    judged = common.materialize(judge_documents(docs), "judged")  # texts included, so that they are measured once
+    ok = common.fresh(judged, "host_bad", "passes")[1]
+    return host_filter(judged, f).where(F.col(ok)).select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = host_filter(docs)
+    judged = common.materialize(judge_documents(docs).drop("text"), "judged")
     m, f = F.col("measures"), F.col("fails")
     failed = f["short"] | f["repetitive"]
-    soft = f["symbols"] | f["repeated_lines"] | f["odd_words"]
-    return out.select("doc_id", *[m[x].alias(x) for x in MEASURES[:5]], failed.alias("base_failed"), (~failed & ~soft & ~F.col("host_bad")).alias("kept"))
+    return host_filter(judged).select("doc_id", *[m[x].alias(x) for x in MEASURES[:5]], failed.alias("base_failed"), F.col("passes").alias("kept"), "host_bad")
 
 
 OP10_SQL = r"""
@@ -170,8 +179,10 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text,
  s as (select rule, count(*)::double as h, sum(n) as nn, sum(k) as kk, sum(n * n) as n2, sum(k * k / n) as k2 from h group by rule),
  q as (select rule, kk / nn as mean, 1 / greatest(0.0001, least(0.2, case when kk > 0 and kk < nn and nn - n2 / nn - (h - 1) > 0
         then ((k2 - kk * kk / nn) / (kk / nn * (1 - kk / nn)) - (h - 1)) / (nn - n2 / nn - (h - 1)) else 0.2 end)) - 1 as strength from s),
- bad as (select distinct host from h join q using (rule) where (k + mean * strength) / (n + strength) > 0.5)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short or repetitive) as base_failed,
- not (short or repetitive or symbols or repeated_lines or odd_words) and bad.host is null as kept
-from f left join bad on f.source = bad.host
+ e as (select host, rule, (k + mean * strength) / (n + strength) as rate from h join q using (rule) union all select null, rule, mean from q),
+ v as (select host, coalesce(host is not null and max(rate) > 0.5, false) as bad, list(rule) filter (where rate * 400 > 1 - rate) as strict from e group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short or repetitive) as base_failed, coalesce(bad, false) as host_bad,
+ not (short or repetitive or coalesce(bad, false) or (symbols and coalesce(list_contains(strict, 'symbols'), false))
+  or (repeated_lines and coalesce(list_contains(strict, 'repeated_lines'), false)) or (odd_words and coalesce(list_contains(strict, 'odd_words'), false))) as kept
+from f left join v on f.source is not distinct from v.host
 """

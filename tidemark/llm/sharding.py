@@ -28,6 +28,8 @@ BITS = 60
 DEEPER = 12
 #: Bytes of a shard, at most.
 LIMIT = 64 << 20
+#: The query's shards hold a SHARDS-th of the table at most, and may hold LEAST bytes, so that small tables have several as well.
+SHARDS, LEAST = 64, 16 << 10
 #: Rows of a hot key that one window sorts at once, at most.
 GROUP_BITS = 12
 COLUMNS = ("shard", "local_depth", "page", "shard_bytes", "shard_rows")
@@ -96,7 +98,8 @@ def shard(df: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataFram
         over = leaves.where("leaf_depth is null").select("cell")
         if over.isEmpty():
             break
-        rest = at.join(common.small(over), "cell", "left_semi").select("p", "size", "r")
+        # Written, so that a hot key, which is followed to the last bit, doesn't read and filter all rows again for each level.
+        rest = common.materialize(at.join(common.small(over), "cell", "left_semi").select("p", "size", "r"), "rest")
         if depth == BITS:
             out.append(_pages(rest, limit).select("r", F.lpad(F.bin("p"), BITS, "0").alias("shard"), F.lit(BITS).alias("local_depth"), "page", "shard_bytes", "shard_rows"))
             break
@@ -124,11 +127,13 @@ def write(sharded: DataFrame, path: str) -> None:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of a SHARDS-th of all bytes, within LEAST and LIMIT, or of the largest document where that is more."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.octets(F.col("text")).alias("n_bytes"))
-    return shard(docs, "doc_id", F.col("n_bytes"))
+    total, largest = docs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.max("n_bytes"), F.lit(0))).first()
+    return shard(docs, "doc_id", F.col("n_bytes"), max(LEAST, largest, min(LIMIT, total // SHARDS)))
 
 
-def sql(limit: int = LIMIT) -> str:
+def sql(limit: int | str = LIMIT) -> str:
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(strlen(text), 0)::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as p from documents),
  u as (select *, unnest(range(0, {BITS + 1})) as k from d),
@@ -139,4 +144,4 @@ from f join s on f.k = s.k and f.p >> ({BITS} - f.k)::bigint = s.leaf
 """
 
 
-OP7_SQL = sql()
+OP7_SQL = sql(f"(select greatest({LEAST}, max(n_bytes), least({LIMIT}, sum(n_bytes) // {SHARDS})) from d)")
