@@ -1,32 +1,44 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models share one vocabulary, order and smoothing: one of a target text collection, one of the whole
-corpus as background. The score of a document is its loss a token under the target model less that under the
-background model; low scores are like the target.
+Two n-gram models share one vocabulary, order and smoothing: one of a target text collection, one of all other
+documents as background. The score of a document is its loss a token under the target model less that under the
+background model; low scores are like the target. Every text is counted; nothing is hashed into fewer cells, pruned or sampled.
 
-Tokens are the bytes of UTF-8 in SYMBOLS classes that keep a-z apart, and fold capitals, digits, punctuation, and
-bytes of other scripts by lead and low bits. Models are of order ORDER with interpolated Witten-Bell smoothing, so
-a model is a dense table of SYMBOLS ** ORDER cells whatever the corpus is: an n-gram has a cell of its own, nothing is
-hashed, pruned or sampled. Counts are taken over all texts, summed in each task and then by cell in a shuffle.
+Two token streams are modelled. ``difference`` is that of bytes: UTF-8 in SYMBOLS classes that keep a-z apart, and fold
+capitals, digits, punctuation, and bytes of other scripts by lead and low bits; order ORDER, interpolated Witten-Bell
+smoothing. That is a dense table of SYMBOLS ** ORDER cells.
 
-Beside these, the same two models are made of words (runs of anything but ASCII white space, as they stand): each word
-after the one before it, interpolated with the words alone and those with the vocabulary of the whole corpus. Vocabulary,
-contexts and pairs are tables in the shared folder that grow with the corpus; every pair of every text is counted, none
-is pruned. Their losses are joined back to the pairs of each document. Words are told apart by 64-bit hashes, and so are
-pairs where they are joined to documents.
+``word_difference`` is that of words (runs of anything but ASCII white space, as they stand, and an end after the last
+one), each after the one before it: Dirichlet smoothing of strength MU towards single words, and those by one more each. Its
+vocabulary and pairs grow with the corpus. A document's own counts are left out of the model that holds them, so
+that documents of the target are scored like held-out ones, and pairs that occur nowhere else count as unseen.
+
+Pairs of words are counted in one exchange and answered in a second. A chunk of texts asks for each distinct pair of
+its own once, as 48 bits of its hash below the word's hash, packed into one row for each part of the vocabulary; the part
+sums up all chunks' counts and sends each chunk its pairs' totals, and the chunk's documents are scored where those
+meet. So a pair that is in every document is one entry a chunk. Parts are dealt by the hash of the word; words of more than
+a HOT-th of the corpus (fewer than HOT of them, whose totals every task knows) are spread by the hash of the pair.
 
 Edge cases: a null or empty text has no tokens, losses and differences 0 (a blank one no words); a document with several labels belongs to the
-target only if every label says so; repeated rows count each and score alike; empty tables give an empty
-result, and an empty target gives differences of 0; extra columns are never read.
+target only if every label says so; repeated rows count each and score alike; an empty table gives an empty result; without a
+target, or where all is target, the one model stands for both and differences are 0; a text longer than CHUNK is
+counted in pieces, and what is held of it at once besides itself is about eight bytes a word and pair; extra columns are never read.
 """
 
 from __future__ import annotations
 
+import re
+import struct
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -35,6 +47,12 @@ SYMBOLS, ORDER = 48, 4
 CELLS = SYMBOLS**ORDER
 #: Bytes of text whose n-grams are held at once.
 CHUNK = 8 << 20
+#: Words of prior mass after each word.
+MU = 50.0
+#: Words of over this share of the corpus are spread over parts by pair.
+HOT = 4_096
+#: Tokens of a part of the vocabulary, about.
+PART = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -68,6 +86,17 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return cell[inside], np.cumsum(n) - n
 
 
+def cells_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """What ngrams gives, for pieces of about CHUNK bytes, and the number of the text with which a piece begins."""
+    for i, j in chunks(texts):
+        if j > i + 1 or len(texts[i]) <= CHUNK:
+            yield *ngrams(texts[i:j]), i
+        else:
+            for k in range(0, len(texts[i]), CHUNK):
+                skip = min(k, ORDER - 1)
+                yield ngrams([texts[i][k - skip : k + CHUNK]])[0][skip:], np.zeros(1, np.int64), i
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about CHUNK bytes; a longer text stands alone."""
     i = size = 0
@@ -80,24 +109,56 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+def split(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, by pieces of about CHUNK bytes."""
+    i = 0
+    while i < len(text):
+        space = _SPACE.search(text, i + CHUNK) if i + CHUNK < len(text) else None
+        j = space.start() if space else len(text)
+        yield text[i:j].split()
+        i = j
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+START, END = b"", b" "  # no words
+
+
 def counts(texts: DataFrame) -> DataFrame:
-    """texts: (text, target boolean). (cell, background, target): counts over all rows and over the target's."""
+    """texts: (text, target boolean). (kind, key, background, target), materialized: of kind 0 the n-grams of bytes by cell, of kind 1 the words
+    by hash, each with its counts over texts that aren't the target's and over those that are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        def out(kind, key, sums):
+            fields = [pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(sums[0]), pa.array(sums[1])]
+            yield from pa.Table.from_arrays(fields, names=["kind", "key", "background", "target"]).to_batches(max_chunksize=100_000)
+
         total = None
         for batch in batches:
             b, target = common.encoded(batch.column("text").to_pylist()), batch.column("target").to_pylist()
             if total is None:
                 total = np.zeros((2, CELLS), dtype=np.int64)
-            for k, rows in enumerate(([x for x, t in zip(b, target, strict=True) if not t], [x for x, t in zip(b, target, strict=True) if t])):
+            for k in (0, 1):
+                rows = [x for x, t in zip(b, target, strict=True) if t == bool(k)]
+                for cell, _, _ in cells_of(rows):
+                    found, times = np.unique(cell, return_counts=True)
+                    total[k, found] += times
                 for i, j in chunks(rows):
-                    cells, times = np.unique(ngrams(rows[i:j])[0], return_counts=True)
-                    total[k, cells] += times
+                    words: Counter = Counter()
+                    for piece in chain.from_iterable(map(split, rows[i:j])):
+                        words.update(piece)
+                    if words:
+                        words[END] = sum(1 for x in rows[i:j] if x.strip())
+                        sums = np.zeros((2, len(words)), dtype=np.int64)
+                        sums[k] = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+                        yield from out(1, np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64), sums)
         if total is not None:
-            cells = np.flatnonzero(total.any(axis=0))
-            yield from pa.Table.from_arrays([pa.array(cells), pa.array(total.sum(axis=0)[cells]), pa.array(total[1, cells])], names=["cell", "background", "target"]).to_batches(max_chunksize=100_000)
+            found = np.flatnonzero(total.any(axis=0))
+            yield from out(0, found, total[:, found])
 
-    return texts.mapInArrow(run, "cell long, background long, target long").groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    made = texts.mapInArrow(run, "kind byte, key long, background long, target long")
+    return common.materialize(made.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts")
 
 
 def losses(count: np.ndarray) -> np.ndarray:
@@ -115,105 +176,244 @@ def losses(count: np.ndarray) -> np.ndarray:
     return -np.log2(p).ravel()
 
 
-def learn(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Losses of each cell under the target's and the background's model, as 32-bit floats."""
-    table = np.zeros((2, CELLS), dtype=np.int64)
-    for batch in counts(texts).toArrow().to_batches():  # at most CELLS rows
-        cells = batch.column("cell").to_numpy()
-        table[0, cells], table[1, cells] = batch.column("background").to_numpy(), batch.column("target").to_numpy()
-    background = losses(table[0])
-    return (losses(table[1]) if table[1].any() else background).astype(np.float32), background.astype(np.float32)
+@dataclass
+class Model:
+    """cells: losses of each cell under the background's and the target's model. Of words: tokens, documents (both by model) and
+    vocabulary, and hash and counts of the hot ones, by hash. A model without any text is the other one."""
 
+    cells: np.ndarray
+    tokens: tuple[int, int]
+    documents: tuple[int, int]
+    vocabulary: int
+    hot: np.ndarray
+    hot_counts: np.ndarray
 
-def word_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of each text: index of the text, hash of the word before (of no word, at the start), of the word, and times."""
+    @property
+    def models(self) -> tuple[int, int]:
+        """Which counts stand for the background and for the target."""
+        return (0 if self.tokens[0] else 1), (1 if self.tokens[1] else 0)
+
+
+def learn(texts: DataFrame) -> Model:
+    """texts: (text, target boolean)."""
+    found = counts(texts)
+    table = np.zeros((2, CELLS), dtype=np.int64)
+    for batch in found.where("kind = 0").select("key", "background", "target").toArrow().to_batches():  # at most CELLS rows
+        cell = batch.column("key").to_numpy()
+        table[0, cell], table[1, cell] = batch.column("background").to_numpy(), batch.column("target").to_numpy()
+    cells = np.stack([losses(table[k if table[k].any() else 1 - k]).astype(np.float32) for k in (0, 1)])
+    words = found.where("kind = 1")
+    end = _hash([END])[0]
+    n, b, t, db, dt = words.agg(
+        F.count(F.lit(1)), *[F.coalesce(F.sum(x), F.lit(0)) for x in ("background", "target")], *[F.coalesce(F.sum(F.when(F.col("key") == int(end.view(np.int64)), F.col(x))), F.lit(0)) for x in ("background", "target")]
+    ).first()
+    # Fewer than HOT rows by their definition.
+    rows = words.where((F.col("background") + F.col("target")) * HOT > b + t).select("key", "background", "target").collect()
+    hot = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    known = np.array([[r["background"] for r in rows], [r["target"] for r in rows]], dtype=np.int64).reshape(2, -1)
+    common.discard(found)
+    return Model(cells, (b, t), (db, dt), n, hot[order], known[:, order])
+
+
+def _hash(words) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    ids = {b"": 0}
-    split = [t.split() for t in texts]
-    n = np.array([len(x) for x in split], dtype=np.int64)
-    word = np.fromiter((ids.setdefault(w, len(ids)) for x in split for w in x), dtype=np.int64, count=n.sum())
-    before = np.concatenate([[0], word[:-1]])[: len(word)]
-    before[(np.cumsum(n) - n)[n > 0]] = 0
-    pair, place, times = np.unique((np.repeat(np.arange(len(n)), n) * len(ids) + before) * len(ids) + word, return_index=True, return_counts=True)
-    hashes = np.fromiter((xxh64_intdigest(w) for w in ids), dtype=np.uint64, count=len(ids)).view(np.int64)
-    return pair // len(ids) ** 2, hashes[before[place]], hashes[word[place]], times
+    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64)
 
 
-def word_model(texts: DataFrame) -> DataFrame:
-    """texts: (text, target boolean). (pair, target, background): the losses of each pair of words, in the shared folder."""
+def _dump(*arrays: np.ndarray) -> bytes:
+    head = b"".join(struct.pack("<cI", x.dtype.char.encode(), len(x)) for x in arrays)
+    return struct.pack("<B", len(arrays)) + head + b"".join(x.tobytes() for x in arrays)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b, target = common.encoded(batch.column("text").to_pylist()), batch.column("target").to_pylist()
-            for kind in (False, True):
-                rows = [x for x, t in zip(b, target, strict=True) if t == kind]
-                for i, j in chunks(rows):
-                    _, before, word, times = word_pairs(rows[i:j])
-                    yield from pa.Table.from_arrays([pa.array(before), pa.array(word), pa.array(times), pa.array(times * kind)], names=["before", "word", "b", "t"]).to_batches(max_chunksize=100_000)
-
-    pairs = common.materialize(texts.mapInArrow(run, "before long, word long, b long, t long").groupBy("before", "word").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "pairs")
-    words = common.materialize(pairs.groupBy("word").agg(F.sum("b").alias("word_b"), F.sum("t").alias("word_t")), "words")
-    contexts = common.materialize(
-        pairs.groupBy("before").agg(F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("kinds_b"), F.sum("t").alias("all_t"), F.count_if(F.col("t") > 0).alias("kinds_t")), "contexts"
-    )
-    size = words.agg(F.sum("word_b").alias("b"), F.count(F.lit(1)).alias("kinds_b"), F.sum("word_t").alias("t"), F.count_if(F.col("word_t") > 0).alias("kinds_t")).first()
-
-    def loss(k: str) -> Column:
-        one = (F.col(f"word_{k}") + F.lit(size[f"kinds_{k}"] / max(1, size["kinds_b"]))) / F.lit(float(max(1, (size[k] or 0) + size[f"kinds_{k}"])))
-        two = (F.col(k) + F.col(f"kinds_{k}") * one) / (F.col(f"all_{k}") + F.col(f"kinds_{k}"))
-        return (-F.log2(F.when(F.col(f"all_{k}") > 0, two).otherwise(one))).cast("float")
-
-    joined = pairs.join(common.small(words), "word").join(common.small(contexts), "before")
-    out = common.materialize(joined.select(F.xxhash64("before", "word").alias("pair"), loss("t" if size["t"] else "b").alias("target"), loss("b").alias("background")), "word-model")
-    for x in (pairs, words, contexts):
-        common.discard(x)
+
+def _load(data: bytes) -> list[np.ndarray]:
+    at, out = 1 + 5 * data[0], []
+    for k in range(data[0]):
+        kind, n = struct.unpack_from("<cI", data, 1 + 5 * k)
+        out.append(np.frombuffer(data, dtype=kind.decode(), count=n, offset=at))
+        at += out[-1].nbytes
     return out
 
 
-def word_scores(keyed: DataFrame, model: DataFrame) -> DataFrame:
-    """keyed: (k1, k2, text). (k1, k2, word_target_loss, word_background_loss), means in bits a word, of texts that have words.
+def _narrow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, and those that don't fit one."""
+    return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype(np.int64)
 
-    Rows of one key have one text, so their mean is that text's.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b, k1, k2 = common.encoded(batch.column("text").to_pylist()), batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for i, j in chunks(b):
-                row, before, word, times = word_pairs(b[i:j])
-                yield from pa.Table.from_arrays(
-                    [pa.array(k1[i:j][row]), pa.array(k2[i:j][row]), pa.array(before), pa.array(word), pa.array(times.astype(np.int32))], names=["k1", "k2", "before", "word", "n"]
-                ).to_batches(max_chunksize=100_000)
-
-    rows = keyed.mapInArrow(run, "k1 long, k2 int, before long, word long, n int").select("k1", "k2", F.xxhash64("before", "word").alias("pair"), "n")
-    mean = lambda x: (F.sum(F.col("n") * F.col(x).cast("double")) / F.sum("n")).alias(f"word_{x}_loss")
-    out = common.materialize(rows.hint("merge").join(model, "pair").groupBy("k1", "k2").agg(mean("target"), mean("background")), "word-scores")
-    common.discard(model)
+def _wide(narrow: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = narrow.astype(np.int64)
+    out[out == 255] = rest
     return out
 
 
-def score(spark: SparkSession, text: Column, target: np.ndarray, background: np.ndarray) -> Column:
-    """A struct (n_tokens, target_loss, background_loss, difference); losses are means in bits a token."""
-    tables = spark.sparkContext.broadcast(np.stack([target, background]))
+def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of n numbers, none of them empty."""
+    return np.add.reduceat(x, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
+
 
-    @F.arrow_udf("struct<n_tokens:long,target_loss:double,background_loss:double,difference:double>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        loss = tables.value
-        for texts in batches:
-            b = common.encoded(texts.to_pylist())
-            n = np.array([len(x) for x in b], dtype=np.int64)
-            sums = np.zeros((2, len(b)))
-            for i, j in chunks(b):
-                cells, begin = ngrams(b[i:j])
-                some = np.flatnonzero(n[i:j])
-                if len(some):
-                    for k in range(2):
-                        sums[k, i + some] = np.add.reduceat(loss[k][cells], begin[some], dtype=np.float64)
-            means = sums / np.maximum(n, 1)
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["n_tokens", "target_loss", "background_loss", "difference"])
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
 
-    return run(text)
+
+def questions(texts: list[bytes], hot: np.ndarray, parts: int) -> tuple[np.ndarray, bytes, Iterator[tuple[int, bytes]]]:
+    """The words of each text; what the answers are to be put together with; and for each part what is asked there.
+
+    Occurrences (a pair in a text) are in the order of part, word, pair, text, in which the answers will be.
+    """
+    ids, n = {START: 0, END: 1}, []
+
+    def stream():
+        for t in texts:
+            k = 0
+            for piece in split(t):
+                k += len(piece)
+                yield from (ids.setdefault(w, len(ids)) for w in piece)
+            n.append(k)
+
+    word = np.fromiter(stream(), dtype=np.int64)
+    n = np.array(n, dtype=np.int64)
+    some = n > 0
+    word = np.insert(word, np.cumsum(n)[some], 1)
+    size = n + some
+    before = np.concatenate([[0], word[:-1]])[: len(word)]
+    before[(np.cumsum(size) - size)[some]] = 0
+    wide, high = len(ids), max(1, len(texts))
+    key, times = np.unique((word * wide + before) * high + np.repeat(np.arange(len(n)), size), return_counts=True)
+    text, before, word = key % high, key // high % wide, key // high // wide
+    own = np.unique(word * high + text, return_inverse=True)[1]
+    own = np.bincount(own, weights=times)[own].astype(np.int64)
+    hashes = _hash(ids)
+    pair = hashes[before] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[word]
+    pair = (pair ^ pair >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    pair ^= pair >> np.uint64(29)
+    part = (np.where(np.isin(hashes, hot)[word], pair, hashes[word]) >> np.uint64(16)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    text, before, word, times, own, pair, part = (x[order] for x in (text, before, word, times, own, pair, part))
+    pairs, words = _runs(part, word, before), _runs(part, word)
+    pair_n, word_pairs = np.diff([*pairs, len(word)]), np.diff([*np.searchsorted(pairs, words), len(pairs)])
+    meta = _dump(text.astype(np.uint16), *_narrow(times), *_narrow(own), *_narrow(pair_n), *_narrow(word_pairs), (word[words] == 1).astype(np.uint8))
+
+    def rows():
+        asked = _sums(times, pair_n)
+        low = pair[pairs].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        first = np.append(_runs(part), len(part)) if len(part) else np.zeros(1, np.int64)
+        for a, b in zip(first, first[1:], strict=False):
+            p, q = np.searchsorted(pairs, [a, b])
+            w, x = np.searchsorted(words, [a, b])
+            yield int(part[a]), _dump(hashes[word[words[w:x]]], *_narrow(word_pairs[w:x]), low[p:q].ravel(), *_narrow(asked[p:q]))
+
+    return n, meta, rows()
+
+
+def answers(asked: list[bytes], target: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray) -> list[bytes]:
+    """All that is asked in a part, each by texts of the target or not: counts of each pair and word by model."""
+    if not asked:
+        return []
+    rows = [_load(x) for x in asked]
+    words = np.concatenate([r[0] for r in rows])
+    word_pairs = np.concatenate([_wide(r[1], r[2]) for r in rows])
+    low = np.zeros((sum(len(r[3]) // 6 for r in rows), 8), dtype=np.uint8)
+    low[:, :6] = np.concatenate([r[3] for r in rows]).reshape(-1, 6)
+    times = np.concatenate([_wide(r[4], r[5]) for r in rows])
+    n_pairs, n_words = np.array([len(r[4]) for r in rows]), np.array([len(r[0]) for r in rows])
+    known, word = np.unique(words, return_inverse=True)
+    of = np.repeat(np.arange(len(words)), word_pairs)
+    key, pair = np.unique(low.view("<u8").ravel() | words[of] << np.uint64(48), return_inverse=True)
+    to = np.repeat(target, n_pairs)
+    two = [np.bincount(pair, weights=times * (to == k), minlength=len(key)).astype(np.int64)[pair] for k in (False, True)]
+    one = [np.bincount(word[of], weights=times * (to == k), minlength=len(known)).astype(np.int64) for k in (False, True)]
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, known), len(hot) - 1)
+        for k in (0, 1):
+            one[k] = np.where(hot[at] == known, hot_counts[k, at], one[k])
+    one = [x[word] for x in one]
+    ends, edges = np.cumsum(n_pairs), np.cumsum(n_words)
+    return [
+        _dump(*_narrow(two[0][b - n : b]), *_narrow(two[1][b - n : b]), *_narrow(one[0][e - m : e]), *_narrow(one[1][e - m : e]))
+        for b, n, e, m in zip(ends, n_pairs, edges, n_words, strict=True)
+    ]
+
+
+def word_sums(meta: bytes, replies: list[bytes], texts: int, target: bool, model: Model, mu: float) -> np.ndarray:
+    """The losses of each text of a chunk in bits, summed over its words and its end: under the background's model and under the target's."""
+    text, t0, t1, o0, o1, p0, p1, w0, w1, end = _load(meta)
+    times, own, pair_n, word_pairs = _wide(t0, t1), _wide(o0, o1), _wide(p0, p1), _wide(w0, w1)
+    rows = [_load(x) for x in replies]
+    get = lambda k: np.concatenate([_wide(r[k], r[k + 1]) for r in rows]) if rows else np.zeros(0, np.int64)
+    by_pair = np.repeat(np.arange(len(pair_n)), pair_n)
+    by_word = np.repeat(np.arange(len(word_pairs)), word_pairs)[by_pair]
+    last = end[by_word] == 1
+    out = np.zeros((2, texts))
+    for k, m in enumerate(model.models):
+        held = int(m == target)  # the model that holds these texts is asked without each one's own
+        two = get(2 * m)[by_pair] - held * times
+        one = get(4 + 2 * m)[by_word] - held * own
+        single = (one + 1) / (model.tokens[m] + model.vocabulary)
+        loss = -np.log2(two + mu * single) + np.where(last, 0.0, np.log2(one + mu))
+        out[k] = np.bincount(text, weights=times * loss, minlength=texts)
+        out[k] += np.where(np.bincount(text, minlength=texts) > 0, np.log2(model.documents[m] - held + mu), 0.0)
+    return out
+
+
+SCORES = ("n_tokens", "target_loss", "background_loss", "difference", "n_words", "word_target_loss", "word_background_loss", "word_difference")
+
+
+def scored(texts: DataFrame, model: Model, mu: float = MU) -> DataFrame:
+    """texts: (doc_id long, text, target boolean), the rows of a task in the same order whenever it runs. (doc_id, SCORES...) for each row."""
+    spark = texts.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-sum(model.tokens) // PART))
+    cells = spark.sparkContext.broadcast(model.cells)
+    model = Model(np.zeros((2, 0)), model.tokens, model.documents, model.vocabulary, model.hot, model.hot_counts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, chunk = cells.value, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            b, ids, to = common.encoded(batch.column("text").to_pylist()), batch.column("doc_id").to_pylist(), batch.column("target").to_pylist()
+            for kind in (False, True):
+                mine = [i for i, t in enumerate(to) if t == kind]
+                for i, j in chunks([b[x] for x in mine]):
+                    rows, own = [b[x] for x in mine[i:j]], [ids[x] for x in mine[i:j]]
+                    n, meta, asked = questions(rows, model.hot, parts)
+                    size, sums = np.array([len(x) for x in rows], dtype=np.int64), np.zeros((2, len(rows)))
+                    for cell, begin, at in cells_of(rows):
+                        some = np.flatnonzero(size[at : at + len(begin)])
+                        for k in (0, 1) if len(some) else ():
+                            sums[k, at + some] += np.add.reduceat(loss[k][cell], begin[some], dtype=np.float64)
+                    known = np.array([x is not None for x in own], dtype=np.uint8)
+                    own = np.array([x or 0 for x in own], dtype=np.int64)
+                    whole = _dump(own, known, size, n, sums[0], sums[1])
+                    out = [(chunk % parts, -1, struct.pack("<I", len(whole)) + whole + meta), *((p, p, x) for p, x in asked)]
+                    yield from pa.Table.from_arrays(
+                        [pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([kind] * len(out)), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())],
+                        names=["part", "chunk", "target", "place", "data"],
+                    ).to_batches(max_chunksize=1_000)
+                    chunk += 1
+
+    def answer(rows: pa.Table) -> pa.Table:
+        asked = rows.filter(pc.greater_equal(rows["place"], 0))
+        said = answers(asked["data"].to_pylist(), asked["target"].to_numpy(), model.hot, model.hot_counts)
+        replies = asked.select(["chunk", "target", "place"]).append_column("data", pa.array(said, pa.binary()))
+        return pa.concat_tables([rows.filter(pc.less(rows["place"], 0)).select(["chunk", "target", "place", "data"]), replies.cast(rows.select(["chunk", "target", "place", "data"]).schema)])
+
+    def finish(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        data = rows["data"].to_pylist()
+        (n,) = struct.unpack_from("<I", data[0])
+        ids, known, size, words, background, target = _load(data[0][4 : 4 + n])
+        sums = word_sums(data[0][4 + n :], data[1:], len(ids), rows["target"][0].as_py(), model, mu)
+        tokens = np.maximum(size, 1)
+        two = sums / np.where(words > 0, words + 1, 1)
+        fields = [size, target / tokens, background / tokens, (target - background) / tokens, words, two[1], two[0], two[1] - two[0]]
+        return pa.Table.from_arrays([pa.array(ids, mask=known == 0), *map(pa.array, fields)], names=["doc_id", *SCORES])
+
+    asked = texts.mapInArrow(ask, "part int, chunk long, target boolean, place int, data binary")
+    replied = asked.groupBy("part").applyInArrow(answer, "chunk long, target boolean, place int, data binary")
+    kinds = ", ".join(f"{x} {'long' if x.startswith('n_') else 'double'}" for x in SCORES)
+    return replied.groupBy("chunk").applyInArrow(finish, f"doc_id long, {kinds}")
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -222,13 +422,15 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return common.materialize(by.where("good = 1 and bad = 0").select(F.col("doc_id").alias("target_id")), "target")
 
 
+def flagged(docs: DataFrame, ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, text, target) of docs, for learn and scored; ids: distinct ``target_id``, materialized."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    side = common.small(ids)
+    out = d.join(side, d["doc_id"] == ids["target_id"], "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
+    # Rows of a scan come in the same order whenever a task runs again, those of a shuffled join need not.
+    return out if side is not ids else out.sortWithinPartitions("doc_id", F.xxhash64("text"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = target_ids(common.table(spark, sf_dir, "labels"))
-    flagged = docs.join(common.small(ids), docs["doc_id"] == ids["target_id"], "left").select("text", F.col("target_id").isNotNull().alias("target"))
-    target, background = learn(flagged)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
-    words = word_scores(keyed.select("k1", "k2", "text"), word_model(flagged))
-    out = keyed.select("doc_id", "k1", "k2", score(spark, F.col("text"), target, background).alias("x")).join(words, ["k1", "k2"], "left")
-    a, b = (F.coalesce(x, F.lit(0.0)) for x in ("word_target_loss", "word_background_loss"))
-    return out.select("doc_id", "x.*", a.alias("word_target_loss"), b.alias("word_background_loss"), (a - b).alias("word_difference"))
+    texts = flagged(common.table(spark, sf_dir, "documents"), target_ids(common.table(spark, sf_dir, "labels")))
+    return scored(texts, learn(texts))
