@@ -223,11 +223,16 @@ def _hash(words) -> np.ndarray:
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
+    from zstandard import ZstdCompressor
+
     head = b"".join(struct.pack("<cI", x.dtype.char.encode(), len(x)) for x in arrays)
-    return struct.pack("<B", len(arrays)) + head + b"".join(x.tobytes() for x in arrays)
+    return ZstdCompressor(level=1).compress(struct.pack("<B", len(arrays)) + head + b"".join(x.tobytes() for x in arrays))
 
 
 def _load(data: bytes) -> list[np.ndarray]:
+    from zstandard import ZstdDecompressor
+
+    data = ZstdDecompressor().decompress(data)
     at, out = 1 + 5 * data[0], []
     for k in range(data[0]):
         kind, n = struct.unpack_from("<cI", data, 1 + 5 * k)
@@ -236,6 +241,17 @@ def _load(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _low(x: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of hashes."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+
+
+def _long(x: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), dtype=np.uint8)
+    out[:, :width] = x.reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
 def _narrow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts as bytes, and those that don't fit one."""
     return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype(np.int64)
@@ -295,16 +311,15 @@ def questions(texts: list[bytes], hot: np.ndarray, parts: int) -> tuple[np.ndarr
     text, before, word, times, own, pair, part = (x[order] for x in (text, before, word, times, own, pair, part))
     pairs, words = _runs(part, word, before), _runs(part, word)
     pair_n, word_pairs = np.diff([*pairs, len(word)]), np.diff([*np.searchsorted(pairs, words), len(pairs)])
-    meta = _dump(text.astype(np.uint16), *_narrow(times), *_narrow(own), *_narrow(pair_n), *_narrow(word_pairs), (word[words] == 1).astype(np.uint8))
+    meta = _dump((text & 255).astype(np.uint8), (text >> 8).astype(np.uint8), *_narrow(times), *_narrow(own), *_narrow(pair_n), *_narrow(word_pairs), (word[words] == 1).astype(np.uint8))
 
     def rows():
         asked = _sums(times, pair_n)
-        low = pair[pairs].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         first = np.append(_runs(part), len(part)) if len(part) else np.zeros(1, np.int64)
         for a, b in zip(first, first[1:], strict=False):
             p, q = np.searchsorted(pairs, [a, b])
             w, x = np.searchsorted(words, [a, b])
-            yield int(part[a]), _dump(hashes[word[words[w:x]]], *_narrow(word_pairs[w:x]), low[p:q].ravel(), *_narrow(asked[p:q]))
+            yield int(part[a]), _dump(_low(hashes[word[words[w:x]]], 6), *_narrow(word_pairs[w:x]), _low(pair[pairs[p:q]], 5), *_narrow(asked[p:q]))
 
     return n, meta, rows()
 
@@ -314,15 +329,17 @@ def answers(asked: list[bytes], target: np.ndarray, hot: np.ndarray, hot_counts:
     if not asked:
         return []
     rows = [_load(x) for x in asked]
-    words = np.concatenate([r[0] for r in rows])
+    words = _long(np.concatenate([r[0] for r in rows]), 6)
     word_pairs = np.concatenate([_wide(r[1], r[2]) for r in rows])
-    low = np.zeros((sum(len(r[3]) // 6 for r in rows), 8), dtype=np.uint8)
-    low[:, :6] = np.concatenate([r[3] for r in rows]).reshape(-1, 6)
+    low = _long(np.concatenate([r[3] for r in rows]), 5)
+    hot = hot & np.uint64((1 << 48) - 1)
+    order = np.argsort(hot)
+    hot, hot_counts = hot[order], hot_counts[:, order]
     times = np.concatenate([_wide(r[4], r[5]) for r in rows])
-    n_pairs, n_words = np.array([len(r[4]) for r in rows]), np.array([len(r[0]) for r in rows])
+    n_pairs, n_words = np.array([len(r[4]) for r in rows]), np.array([len(r[1]) for r in rows])
     known, word = np.unique(words, return_inverse=True)
     of = np.repeat(np.arange(len(words)), word_pairs)
-    key, pair = np.unique(low.view("<u8").ravel() | words[of] << np.uint64(48), return_inverse=True)
+    key, pair = np.unique(low | word[of].astype(np.uint64) << np.uint64(40), return_inverse=True)
     to = np.repeat(target, n_pairs)
     two = [np.bincount(pair, weights=times * (to == k), minlength=len(key)).astype(np.int64)[pair] for k in (False, True)]
     one = [np.bincount(word[of], weights=times * (to == k), minlength=len(known)).astype(np.int64) for k in (False, True)]
@@ -340,7 +357,8 @@ def answers(asked: list[bytes], target: np.ndarray, hot: np.ndarray, hot_counts:
 
 def word_sums(meta: bytes, replies: list[bytes], texts: int, target: bool, model: Model, mu: float) -> np.ndarray:
     """The losses of each text of a chunk in bits, summed over its words and its end: under the background's model and under the target's."""
-    text, t0, t1, o0, o1, p0, p1, w0, w1, end = _load(meta)
+    low, high, t0, t1, o0, o1, p0, p1, w0, w1, end = _load(meta)
+    text = low + 256 * high.astype(np.int64)
     times, own, pair_n, word_pairs = _wide(t0, t1), _wide(o0, o1), _wide(p0, p1), _wide(w0, w1)
     rows = [_load(x) for x in replies]
     get = lambda k: np.concatenate([_wide(r[k], r[k + 1]) for r in rows]) if rows else np.zeros(0, np.int64)
