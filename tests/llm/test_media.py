@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -102,3 +103,52 @@ def test_edge_cases(spark, tmp_path):
     assert media.op5(spark, edge.save(spark, [], tmp_path / "e")).count() == 0
     odd = spark.createDataFrame([(bytearray(b"odd"),)], "b binary").select(media.as_wav(F.col("b")).alias("w")).first()["w"]
     assert len(odd) == 48 and wave.open(io.BytesIO(odd)).readframes(9) == b"odd"
+
+
+def automaton():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for magic in {f[0] for f in media.FORMATS}:
+        found.add_word(magic.decode("latin-1"), [f for f in media.FORMATS if f[0] == magic])
+    found.make_automaton()
+    return found
+
+
+def test_texts_full_of_magic_bytes():
+    """Five megabytes of marks that begin, continue or end files take seconds."""
+    a = automaton()
+    began = time.perf_counter()
+    for mark in (b"%PDF-", b"PK\x03\x04", b"%PDF-startxref%%EOF", b"PK\x03\x04PK\x05\x06", b"%PDF-%%EOF", OGG[:31]):
+        found = media.spans(mark * (5_000_000 // len(mark)), a)
+        assert bool(found) == (mark == b"%PDF-startxref%%EOF")
+    assert time.perf_counter() - began < 120
+
+
+def test_revisions_and_several_files():
+    """A PDF ends with its last revision before the next one begins; a ZIP where its own end record says."""
+    a = automaton()
+    twice = PDF + b"more\nstartxref\n9\n%%EOF"
+    got = media.spans(b"-" + twice + b"--" + PDF + b"-" + zipped() + b"+" + zipped(), a)
+    z = len(twice) + len(PDF) + 4
+    assert [(s["type"], s["start"], s["length"]) for s in got] == [
+        ("application/pdf", 1, len(twice)), ("application/pdf", len(twice) + 3, len(PDF)), ("application/zip", z, len(zipped())), ("application/zip", z + len(zipped()) + 1, len(zipped())),
+    ]
+
+
+def test_feature_of_every_row(spark, tmp_path):
+    """Spans inside texts, found by walking over every offset with the formats' own first bytes."""
+    rows = [(1, "plain", "en", "s", 1), (2, "x" + PDF.decode() + "y" + PDF.decode(), "en", "s", 1), (3, GIF.decode("latin-1"), "en", "s", 1), (4, OGG.decode() + "tail", "en", "s", 1), (5, None, "en", "s", 1)]
+    got = {r["doc_id"]: r["feature"] for r in media.op5(spark, edge.save(spark, rows, tmp_path)).collect()}
+    n = len(PDF)
+    want = {2: f"application/pdf@45+{n},application/pdf@{46 + n}+{n}", 4: f"audio/ogg@44+{len(OGG)}"}
+    for i, text, *_ in rows:
+        size = 192 * max(1, -(-len((text or "").encode()) // 192))
+        assert got[i] == f"audio/wav;samples={size};header=44;embedded={want.get(i, '').count('@')};{want.get(i, '')}"
+    docs = spark.read.parquet(f"{parity.SF}/documents.parquet").collect()
+    found = {r["doc_id"]: r["feature"] for r in media.op5(spark, parity.SF).collect()}
+    first = [(magic, back, confirm) for magic, back, _, confirm in media.FORMATS]
+    for r in docs:
+        b = (r["text"] or "").encode()
+        held = [at for at in range(len(b)) for magic, back, confirm in first if b.startswith(magic, at) and at >= back and confirm(b, at - back, {})]
+        assert f";embedded={len(held)};" in found[r["doc_id"]]

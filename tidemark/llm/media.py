@@ -7,13 +7,15 @@ value counts) and can be carved out, embedded ones too.
 
 Edge cases: a null or empty value has no span; its type is the declared one unless a validator exists for that
 type, which makes it application/octet-stream; truncated or damaged files are not confirmed; spans of equal
-start are ordered by type; repeated rows get equal answers; extra columns are carried along unread.
+start are ordered by type; end marks of PDF and ZIP files and pages of Ogg streams are looked up once a value, so that a text full of
+their magic bytes takes linear time; repeated rows get equal answers; extra columns are carried along unread.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ SNIFFED = f"struct<type:string,corrected:boolean,spans:array<{SPAN}>>"
 Found = tuple[int, int, int] | None  # end, start of data, length of data
 
 
-def _png(b: bytes, at: int) -> Found:
+def _png(b: bytes, at: int, memo: dict) -> Found:
     i, data, size = at + 8, -1, 0
     while i + 12 <= len(b):
         (n,) = struct.unpack_from(">I", b, i)
@@ -44,7 +46,7 @@ def _png(b: bytes, at: int) -> Found:
     return None
 
 
-def _gif(b: bytes, at: int) -> Found:
+def _gif(b: bytes, at: int, memo: dict) -> Found:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -65,7 +67,7 @@ def _gif(b: bytes, at: int) -> Found:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> Found:
+def _jpeg(b: bytes, at: int, memo: dict) -> Found:
     i, frame = at + 2, False
     while i + 4 <= len(b):
         if b[i] != 0xFF:
@@ -92,7 +94,7 @@ def _jpeg(b: bytes, at: int) -> Found:
     return None
 
 
-def _bmp(b: bytes, at: int) -> Found:
+def _bmp(b: bytes, at: int, memo: dict) -> Found:
     if at + 18 > len(b):
         return None
     size, reserved, pixels, header = struct.unpack_from("<IIII", b, at + 2)
@@ -101,8 +103,8 @@ def _bmp(b: bytes, at: int) -> Found:
     return at + size, at + pixels, size - pixels
 
 
-def _riff(form: bytes, need: tuple[bytes, ...], data: bytes) -> Callable[[bytes, int], Found]:
-    def walk(b: bytes, at: int) -> Found:
+def _riff(form: bytes, need: tuple[bytes, ...], data: bytes) -> Callable[[bytes, int, dict], Found]:
+    def walk(b: bytes, at: int, memo: dict) -> Found:
         if at + 12 > len(b) or b[at + 8 : at + 12] != form:
             return None
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -124,24 +126,41 @@ def _riff(form: bytes, need: tuple[bytes, ...], data: bytes) -> Callable[[bytes,
     return walk
 
 
-def _pdf(b: bytes, at: int) -> Found:
-    end = b.find(b"%%EOF", at)
-    while 0 <= (more := b.find(b"%%EOF", end + 5)) and b.find(b"%PDF-", end + 5, more) < 0:
-        end = more  # further revisions of the same file
-    return (end + 5, -1, 0) if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
+def _places(b: bytes, mark: bytes, memo: dict) -> list[int]:
+    """Where mark is in b; found once for each value."""
+    if mark not in memo:
+        out, at = [], b.find(mark)
+        while at >= 0:
+            out.append(at)
+            at = b.find(mark, at + len(mark))
+        memo[mark] = out
+    return memo[mark]
 
 
-def _zip(b: bytes, at: int) -> Found:
-    i = b.find(b"PK\x05\x06", at)
-    while i >= 0 and i + 22 <= len(b):
-        n, size, start, note = struct.unpack_from("<HIIH", b, i + 10)
-        if at + start + size == i and i + 22 + note <= len(b) and (not n or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return i + 22 + note, at, start
-        i = b.find(b"PK\x05\x06", i + 4)
-    return None
+def _pdf(b: bytes, at: int, memo: dict) -> Found:
+    ends, heads, refs = (_places(b, x, memo) for x in (b"%%EOF", b"%PDF-", b"startxref"))
+    i = bisect_left(ends, at)
+    if i == len(ends):
+        return None
+    h = bisect_left(heads, ends[i] + 5)  # all ends up to the next file's head are revisions of this one
+    end = ends[(bisect_left(ends, heads[h]) if h < len(heads) else len(ends)) - 1]
+    r = bisect_left(refs, at)
+    return (end + 5, -1, 0) if r < len(refs) and refs[r] + 9 <= end else None
+
 
+def _zip(b: bytes, at: int, memo: dict) -> Found:
+    if _zip not in memo:
+        memo[_zip] = files = {}  # by start, which an end record tells
+        for i in _places(b, b"PK\x05\x06", memo):
+            if i + 22 <= len(b):
+                n, size, start, note = struct.unpack_from("<HIIH", b, i + 10)
+                begin = i - size - start
+                if begin >= 0 and i + 22 + note <= len(b) and (not n or b[begin + start : begin + start + 4] == b"PK\x01\x02"):
+                    files.setdefault(begin, (i + 22 + note, begin, start))
+    return memo[_zip].get(at)
 
-def _gzip(b: bytes, at: int) -> Found:
+
+def _gzip(b: bytes, at: int, memo: dict) -> Found:
     d, rest = zlib.decompressobj(31), memoryview(b)[at:]
     try:
         d.decompress(rest, 1 << 20)
@@ -152,22 +171,29 @@ def _gzip(b: bytes, at: int) -> Found:
     return (len(b) - len(d.unused_data), -1, 0) if d.eof else None
 
 
-def _ogg(b: bytes, at: int) -> Found:
-    i, serial = at, b[at + 14 : at + 18]
+def _ogg(b: bytes, at: int, memo: dict) -> Found:
+    """Pages of one serial number up to one that is marked as last; where they end is remembered for all of them."""
+    i, serial, seen, end = at, b[at + 14 : at + 18], [], None
     while i + 27 <= len(b) and b[i : i + 5] == b"OggS\0" and b[i + 14 : i + 18] == serial:
+        if (_ogg, i) in memo:
+            end = memo[_ogg, i]
+            break
+        seen.append(i)
         n = b[i + 26]
         last, i = b[i + 5] & 4, i + 27 + n + sum(b[i + 27 : i + 27 + n])
         if i > len(b):
-            return None
+            break
         if last:
-            return i, -1, 0
-    return None
+            end = (i, -1, 0)
+            break
+    memo.update(((_ogg, x), end) for x in seen)
+    return end
 
 
 _BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"udta", b"meta", b"uuid", b"sidx", b"styp", b"wide")
 
 
-def _mp4(b: bytes, at: int) -> Found:
+def _mp4(b: bytes, at: int, memo: dict) -> Found:
     i, kinds, data, size = at, set(), -1, 0
     while i + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, i)
@@ -188,7 +214,7 @@ def _mp4(b: bytes, at: int) -> Found:
 
 
 #: Magic bytes, how far they lie from the start, the type, its validator.
-FORMATS: list[tuple[bytes, int, str, Callable[[bytes, int], Found]]] = [
+FORMATS: list[tuple[bytes, int, str, Callable[[bytes, int, dict], Found]]] = [
     (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
     (b"GIF87a", 0, "image/gif", _gif),
     (b"GIF89a", 0, "image/gif", _gif),
@@ -208,11 +234,11 @@ TYPES = {f[2] for f in FORMATS}
 
 def spans(b: bytes, automaton) -> list[dict]:
     """Confirmed files in b, embedded ones included, by start."""
-    out = []
+    out, memo = [], {}
     for end, hits in automaton.iter(b.decode("latin-1")):
         for magic, back, kind, confirm in hits:
             at = end + 1 - len(magic) - back
-            if at >= 0 and (kind not in ("audio/wav", "image/webp", "video/x-msvideo") or b[at : at + 4] == b"RIFF") and (found := confirm(b, at)):
+            if at >= 0 and (kind not in ("audio/wav", "image/webp", "video/x-msvideo") or b[at : at + 4] == b"RIFF") and (found := confirm(b, at, memo)):
                 stop, data, size = found
                 out.append({"start": at, "length": stop - at, "type": kind, "data_start": data - at if data >= 0 else -1, "data_length": size})
     # Ogg pages after the first, and parts of a zip after its first entry, begin no file of their own.
