@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -83,7 +84,72 @@ def test_held_out_accuracy(spark):
 def test_trees_learn_from_domains_of_both_labels_only(spark, monkeypatch):
     """Thousands of domains of one label beside one of both: all that is fit is of that one, and as much as is asked for."""
     rows = [(f"http://h.d{i}.{'com' if i % 2 else 'net'}/{k}", i % 2) for i in range(6000) for k in range(2)] + [(f"http://h.both.org/{k}", k % 2) for k in range(100)]
-    fit, features = [], urls.Model.features
-    monkeypatch.setattr(urls.Model, "features", lambda self, found, buckets: fit.extend(found) or features(self, found, buckets))
+    seen, fit = [], urls.Trees.fit
+    monkeypatch.setattr(urls.Trees, "fit", lambda self, x, y: seen.append(x) or fit(self, x, y))
     urls.learn(spark.createDataFrame(rows, "url string, label int"), sample_rows=50)
-    assert all("both.org" in u for u in fit) and 30 < len(fit) <= 50
+    host_length = urls.LEXICAL.index("host_length")
+    assert set(seen[0][:, host_length]) == {len("h.both.org")} and 30 < len(seen[0]) <= 50
+
+
+def plain_features(u, pages):
+    """The features of a URL by their definitions, in plain Python; pages: all URLs."""
+    text = u or ""
+    scheme, rest = text.split("://", 1) if "://" in text else ("", text)
+    rest, _, fragment = rest.partition("#")
+    rest, _, query = rest.partition("?")
+    h, _, p = rest.partition("/")
+    segments = [x for x in p.split("/") if x]
+    share = [text.count(c) / len(text) for c in set(text)]
+    out = [
+        len(text), len(h), len(p), len(query), len(h.split(".")) if h else 0, len(segments), sum(c.isdigit() for c in text) / max(1, len(text)), sum(c.isalpha() for c in text) / max(1, len(text)), text.count("-"),
+        -sum(x * math.log2(x) for x in share), sum(1 for x in query.split("&") if x), bool(fragment), scheme.lower() == "https", max(map(len, re.split(r"[\W_]", text))), sum(map(len, segments)) / max(1, len(segments)),
+    ]
+
+    def suffixes(x):
+        host, path = split(x)
+        found = re.search(r"\.([0-9A-Za-z]{1,8})$", path)
+        return host.split(".")[-1], ".".join(host.split(".")[-2:]), found[1] if found else ""
+
+    own, stats = suffixes(u), []
+    for k in range(3):
+        lengths = [len(x or "") for x in pages if suffixes(x)[k] == own[k]]
+        mean = sum(lengths) / len(lengths)
+        stats.append((math.log1p(len(lengths)), math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))))
+    return [*out, *(a for a, _ in stats), *(b for _, b in stats)]
+
+
+def test_verdicts_by_brute_force(spark):
+    """The trees walked one node after the other on plainly computed features, for every URL that no rule decides."""
+    table = spark.read.parquet(f"{parity.SF}/pages.parquet")
+    pages = {r["page_id"]: r["url"] for r in table.collect()}
+    got = {r["page_id"]: r for r in urls.op8(spark, parity.SF).collect()}
+    rule, verdict = urls.apply_rules(urls.host(F.col("url")), urls.path(F.col("url")))
+    model = urls.learn(table.select("url", (verdict == "block").cast("int").alias("label")))
+    checked = 0
+    for i, u in pages.items():
+        if judge(u)[2] is not None:
+            continue
+        x, total = plain_features(u, pages.values()), 0.0
+        for tree in model.trees.nodes:
+            at = 0
+            while tree[at][0] >= 0:
+                f = int(tree[at][0])
+                at = 2 * at + 1 + (sum(c < x[f] - 1e-9 for c in model.trees.cuts[f]) > tree[at][1])
+            total += urls.RATE * tree[at][2]
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+        assert abs(total) < 1e-9 or got[i]["verdict"] == ("block" if total >= 0 else "allow")
+        checked += 1
+    assert checked > 10
+
+
+def test_rare_suffixes(spark, monkeypatch):
+    """Beyond the frequent suffixes, which are exact, each counts as the mean of its bucket."""
+    monkeypatch.setattr(urls, "FREQUENT", 2)
+    monkeypatch.setattr(urls, "BUCKETS", 1)
+    rows = ["http://a.x/1"] * 5 + ["http://b.y/1"] * 4 + ["http://c.z/1"] * 3 + ["http://d.w/123"]
+    df = spark.createDataFrame([(u,) for u in rows], "url string")
+    model = urls.learn(df.withColumn("label", F.lit(None).cast("int")))
+    hashes = {r["url"]: r["h"] for r in df.distinct().select("url", F.array(*urls.suffixes(urls.host(F.col("url")), urls.path(F.col("url")))).alias("h")).collect()}
+    at = len(urls.LEXICAL)
+    count = {u: np.expm1(model.features([u], np.array([h]))[0, at]) for u, h in hashes.items()}
+    assert {u: round(n, 6) for u, n in count.items()} == {"http://a.x/1": 5, "http://b.y/1": 4, "http://c.z/1": 2, "http://d.w/123": 2}

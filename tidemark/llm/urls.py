@@ -8,8 +8,9 @@ block whole suffixes of which a few paths are labelled. For the same reason the
 labels of both kinds, found exactly (from all, if there are none): one with a single label says nothing about its URLs' words. Both
 labels weigh the same in all.
 
-Learning reads a bounded sample: of the labelled URLs of these domains SAMPLE_ROWS at most are drawn by hash. Suffix statistics cover all
-rows, summed in BUCKETS hashed buckets, so the model has a fixed size.
+Learning reads a bounded sample: of the labelled URLs of these domains SAMPLE_ROWS at most are drawn by hash, and their features
+come to the driver. Suffix statistics cover all rows and are exact for the FREQUENT most frequent suffixes of each kind; each
+other suffix counts as the mean of those in its hashed bucket, of BUCKETS. So the model has a fixed size.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and no rule; without labels of both kinds
 every verdict left to the method is the only kind there is, or allow; repeated rows get equal verdicts; extra columns
@@ -33,7 +34,8 @@ Rule = tuple[str, str, str]  # verdict, host, path
 RULES: tuple[Rule, ...] = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Labelled URLs that the trees are fit on, at most.
 SAMPLE_ROWS = 20_000
-BUCKETS = 4_096
+#: Suffixes of each kind with statistics of their own, and buckets of the others.
+FREQUENT, BUCKETS = 4_096, 1_024
 TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.15, 32, 20
 LEXICAL = ("length", "host_length", "path_length", "query_length", "labels", "depth", "digits", "letters", "hyphens", "entropy", "parameters", "fragment", "secure", "longest_run", "segment_mean")
 SUFFIXES = ("tld", "domain", "extension")
@@ -81,10 +83,10 @@ def lexical(url: str | None) -> list[float]:
 
 
 def suffixes(h: Column, p: Column) -> list[Column]:
-    """Buckets of the three suffixes."""
+    """Hashes of the three suffixes."""
     tld, domain = F.substring_index(h, ".", -1), F.substring_index(h, ".", -2)
     extension = F.regexp_extract(p, r"\.([0-9A-Za-z]{1,8})$", 1)
-    return [F.pmod(F.xxhash64(F.lit(k), x), F.lit(BUCKETS)).cast("int") for k, x in zip(SUFFIXES, (tld, domain, extension), strict=True)]
+    return [F.xxhash64(F.lit(k), x) for k, x in zip(SUFFIXES, (tld, domain, extension), strict=True)]
 
 
 class Trees:
@@ -156,38 +158,74 @@ class Trees:
 
 
 class Model:
-    """Suffix statistics by bucket, and the trees; mean: the share of labels that block."""
+    """Suffix statistics, and the trees; mean: the share of labels that block.
 
-    def __init__(self, counts: np.ndarray, lengths: np.ndarray, squares: np.ndarray, mean: float):
-        n = np.maximum(counts, 1)
+    frequent: for each kind of suffix hash, count, sum of lengths and of their squares; tail: (kind, 3, BUCKETS), means of the other suffixes of a bucket.
+    """
+
+    def __init__(self, frequent: list[np.ndarray], tail: np.ndarray, mean: float):
         self.mean = mean
-        self.common = np.log1p(counts)
-        self.spread = np.sqrt(np.maximum(0, squares / n - (lengths / n) ** 2))
         self.trees: Trees | None = None
-
-    def features(self, urls: list[str | None], buckets: np.ndarray) -> np.ndarray:
+        self.known, self.common, self.spread = [], [], []
+        for f, t in zip(frequent, tail, strict=True):
+            order = np.argsort(f[0])
+            n, s, q = np.concatenate([f[1:, order].astype(np.float64), t], axis=1)  # the buckets follow the frequent ones
+            self.known.append(f[0, order])
+            self.common.append(np.log1p(n))
+            self.spread.append(np.sqrt(np.maximum(0, q / np.maximum(n, 1e-9) - (s / np.maximum(n, 1e-9)) ** 2)))
+
+    def features(self, urls: list[str | None], hashes: np.ndarray) -> np.ndarray:
+        """hashes: a row for each URL, a column for each kind of suffix."""
         words = np.array([lexical(u) for u in urls], dtype=np.float64).reshape(len(urls), len(LEXICAL))
-        k = np.arange(len(SUFFIXES))
-        return np.concatenate([words, self.common[k, buckets], self.spread[k, buckets]], axis=1)
+        at = np.zeros(hashes.shape, dtype=np.int64)
+        for k, known in enumerate(self.known):
+            at[:, k] = len(known) + hashes[:, k] % BUCKETS
+            if len(known):
+                near = np.minimum(np.searchsorted(known, hashes[:, k]), len(known) - 1)
+                at[:, k] = np.where(known[near] == hashes[:, k], near, at[:, k])
+        stats = [x[k][at[:, k]] for x in (self.common, self.spread) for k in range(len(SUFFIXES))]
+        return np.concatenate([words, np.stack(stats, axis=1)], axis=1)
+
+
+def feature_vector(url: Column, model: Model) -> Column:
+    """The features of each URL as an array."""
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for urls, hashes in batches:
+            yield pa.array(list(model.features(urls.to_pylist(), _columns(hashes))), pa.list_(pa.float64()))
+
+    return run(url, F.array(*suffixes(host(url), path(url))))
 
-    def blocks(self, urls: list[str | None], buckets: np.ndarray) -> np.ndarray:
-        """The probability that a URL is to be blocked."""
-        if self.trees is None:
-            return np.full(len(urls), self.mean)
-        return self.trees.score(self.features(urls, buckets)) if len(urls) else np.zeros(0)
+
+def _columns(hashes: pa.Array) -> np.ndarray:
+    return hashes.values.to_numpy(zero_copy_only=False).reshape(len(hashes), len(SUFFIXES)) if len(hashes) else np.zeros((0, len(SUFFIXES)), dtype=np.int64)
+
+
+def suffix_statistics(urls: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """What Model takes; urls: (url, hashes), all of them."""
+    n = F.coalesce(F.length("url"), F.lit(0)).cast("double")
+    sums = urls.select(n.alias("n"), F.posexplode("hashes").alias("k", "suffix")).groupBy("k", "suffix")
+    sums = common.materialize(sums.agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")), "suffixes")
+    frequent, tail = [], np.zeros((len(SUFFIXES), 3, BUCKETS))
+    for k in range(len(SUFFIXES)):
+        own = sums.where(F.col("k") == k)
+        top = own.orderBy(F.desc("c"), "suffix").limit(FREQUENT).collect()
+        # Longs and sums side by side: sums of this many rows fit longs as well.
+        frequent.append(np.array([[r["suffix"], int(r["c"]), int(r["s"]), int(r["q"])] for r in top], dtype=np.int64).reshape(-1, 4).T)
+        if len(top) == FREQUENT:
+            less = (F.col("c") < top[-1]["c"]) | ((F.col("c") == top[-1]["c"]) & (F.col("suffix") > top[-1]["suffix"]))
+            means = own.where(less).groupBy(F.pmod("suffix", F.lit(BUCKETS)).alias("bucket")).agg(F.avg("c").alias("c"), F.avg("s").alias("s"), F.avg("q").alias("q"))
+            for r in means.collect():  # at most BUCKETS rows
+                tail[k, :, r["bucket"]] = r["c"], r["s"], r["q"]
+    return frequent, tail
 
 
 def learn(urls: DataFrame, url: str = "url", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> Model:
     """urls: all URLs, with label 1 (block), 0 (allow) or null (not labelled)."""
     u = urls.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label"))
-    u = u.select("url", "label", F.array(*suffixes(host(F.col("url")), path(F.col("url")))).alias("buckets"))
     known = u.agg(F.avg("label").alias("mean")).first()
-    n = F.coalesce(F.length("url"), F.lit(0)).cast("double")
-    sums = u.select(n.alias("n"), F.posexplode("buckets").alias("k", "bucket")).groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    table = np.zeros((3, len(SUFFIXES), BUCKETS))
-    for r in sums.collect():  # at most BUCKETS rows for each suffix
-        table[:, r["k"], r["bucket"]] = r["c"], r["s"], r["q"]
-    model = Model(*table, mean=known["mean"] or 0.0)
+    model = Model(*suffix_statistics(u.select("url", F.array(*suffixes(host(F.col("url")), path(F.col("url")))).alias("hashes"))), mean=known["mean"] or 0.0)
     if not 0 < model.mean < 1:
         return model
     u = u.where("label is not null").withColumn("domain", F.substring_index(host(F.col("url")), ".", -2))
@@ -196,11 +234,10 @@ def learn(urls: DataFrame, url: str = "url", label: str = "label", sample_rows:
         u = u.join(common.small(mixed), "domain", "left_semi")
     labelled = u.count()
     place = F.xxhash64("url").cast("double") / F.lit(2.0**64) + 0.5
-    drawn = u.withColumn("place", place).where(F.col("place") < min(1.0, 1.1 * sample_rows / labelled)).orderBy("place", "url").limit(sample_rows)
-    rows = drawn.select("url", "label", "buckets").collect()
-    y = np.array([r["label"] for r in rows])
-    if len(rows):
-        model.trees = Trees().fit(model.features([r["url"] for r in rows], np.array([r["buckets"] for r in rows])), y)
+    drawn = u.select("url", "label", place.alias("place")).where(F.col("place") < min(1.0, 1.1 * sample_rows / labelled))
+    rows = drawn.select("place", "label", feature_vector(F.col("url"), model).alias("x")).orderBy("place", "label", "x").limit(sample_rows).collect()
+    if rows:
+        model.trees = Trees().fit(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]))
     return model
 
 
@@ -209,9 +246,11 @@ def block_score(url: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for urls, buckets in batches:
-            b = buckets.values.to_numpy(zero_copy_only=False).reshape(len(urls), len(SUFFIXES)) if len(urls) else np.zeros((0, 3), dtype=np.int64)
-            yield pa.array(model.blocks(urls.to_pylist(), b))
+        for urls, hashes in batches:
+            if model.trees is None:
+                yield pa.array([model.mean] * len(urls), pa.float64())
+            else:
+                yield pa.array(model.trees.score(model.features(urls.to_pylist(), _columns(hashes))) if len(urls) else [], pa.float64())
 
     return run(url, F.array(*suffixes(host(url), path(url))))
 
