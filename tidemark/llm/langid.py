@@ -6,10 +6,10 @@ blocks, each block is compressed with each language's dictionary, and the langua
 the least wins. The margin is what the runner-up needs more, in bits a byte of text; narrow margins
 are rejected.
 
-Learning reads a bounded sample: labelled rows are drawn by a hash of their text, about SAMPLE_ROWS for
-each language, of which whole texts go into a dictionary while they fit DICT_BYTES (a text longer
-than that cannot fit and is passed over). So the model is at most DICT_BYTES for each language,
-whatever the size of the corpus.
+Learning reads a bounded sample: distinct labelled texts are drawn by hash, SAMPLE_ROWS for each of the LANGS languages that have
+most of them, of which whole texts go into a dictionary while they fit DICT_BYTES. Of a language that has only longer texts
+it is made of the beginning of one. So the model is at most DICT_BYTES for each language,
+whatever the size of the corpus and however often a text is repeated in it.
 
 Edge cases: a null text or one without a letter is ``und`` with score and margin 0 and counts as
 rejected; without any labelled row every text is ``und``; ties go to the language first by code point;
@@ -22,13 +22,13 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Labelled rows drawn for each language, about: the bound of the sample that a dictionary is made of.
-SAMPLE_ROWS = 256
+#: Labelled texts drawn for each language, and languages, at most: the bounds of the sample that dictionaries are made of.
+SAMPLE_ROWS, LANGS = 256, 256
 #: Largest dictionary, in bytes.
 DICT_BYTES = 98_304
 #: Texts are compressed in blocks of as many bytes, so that a long text can't become its own dictionary.
@@ -47,29 +47,32 @@ def folded(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary for each non-null language of the labelled rows, with at least one letter in a text."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A dictionary for each language of the labelled rows, with at least one letter in a text. A language's name is 64 characters at most."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & (F.length("lang") <= 64) & F.col("text").rlike(r"\p{L}"))
+    # Texts are told apart by hash, all copies being one, before anything is drawn: so no copies can fill the sample.
+    texts = common.materialize(rows.select("lang", F.xxhash64("text").alias("place")).distinct(), "texts")
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not counts:
         return {}
-    # Every row of a rare language, a thin slice by hash of a common one: the sample's size is the same at any input size.
-    place = F.col("place") - F.floor(F.col("place"))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_rows / n))])
-    drawn = (
-        rows.withColumn("place", F.xxhash64("text").cast("double") / F.lit(2.0**64))
-        .where(place < share[F.col("lang")])
-        .select("lang", "text", place.alias("place"))
-    )
+    # Every text of a rare language, a thin slice by hash of a common one: the sample's size is the same at any input size.
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * sample_rows / n))])
+    first = Window.partitionBy("lang").orderBy("place")
+    thin = texts.where(F.col("place").cast("double") / F.lit(2.0**64) + 0.5 <= share[F.col("lang")])
+    drawn = common.materialize(thin.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows).select(F.col("lang").alias("of"), F.col("place").alias("at")), "drawn")
+    # LANGS * SAMPLE_ROWS texts of DICT_BYTES characters come to the driver at most, one after the other.
+    on = (rows["lang"] == drawn["of"]) & (F.xxhash64("text") == drawn["at"])
+    whole = F.min(F.octet_length("text") < dict_bytes).alias("whole")
+    found = rows.join(F.broadcast(drawn), on).groupBy("of", "at").agg(F.min(F.substring("text", 1, dict_bytes)).alias("text"), whole)
     out: dict[str, list[bytes]] = {k: [] for k in counts}
-    room = dict.fromkeys(counts, dict_bytes)
-    seen: set[tuple[str, str]] = set()
-    for r in drawn.where(F.octet_length("text") < dict_bytes).orderBy("lang", "place", "text").toLocalIterator():
+    room, instead = dict.fromkeys(counts, dict_bytes), {}
+    for r in found.orderBy("of", "at").toLocalIterator():
         x = folded(r["text"]) + b" "
-        if len(x) <= room[r["lang"]] and (r["lang"], r["text"]) not in seen:
-            seen.add((r["lang"], r["text"]))
-            out[r["lang"]].append(x)
-            room[r["lang"]] -= len(x)
-    return {k: b"".join(v) for k, v in sorted(out.items()) if v}
+        if not r["whole"]:
+            instead.setdefault(r["of"], x[:dict_bytes])
+        elif len(x) <= room[r["of"]]:
+            out[r["of"]].append(x)
+            room[r["of"]] -= len(x)
+    return {k: b"".join(v) or instead[k] for k, v in sorted(out.items()) if v or k in instead}
 
 
 def identify(text: Column, model: dict[str, bytes], margin: float = MARGIN) -> Column:
