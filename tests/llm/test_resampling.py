@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import edge
@@ -63,3 +65,39 @@ def test_edge_cases(spark, tmp_path):
         edge.save(spark, [], tmp_path / name, "doc_id long, quality int, toxic int", "labels")
         out = resampling.op4(spark, str(tmp_path / name)).collect()
         assert len(out) == (0 if name == "e" else len(edge.ROWS)) and all(r["kept"] for r in out)
+
+
+def test_query_by_brute_force(spark):
+    """Hashes, counts, weights, noise and the draw of every row, from their definitions."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    good = {r["doc_id"] for r in labels if r["quality"]}
+    target = good - {r["doc_id"] for r in labels if r["toxic"]}
+    mask = 2**64 - 1
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w, 42) & 2**63 - 1 for w in text.lower().split()]
+        pairs = [(a * 0x9E3779B97F4A7C15 & mask) ^ ((b >> 3) * 0xC2B2AE3D27D4EB4F & mask) for a, b in zip(h, h[1:], strict=False)]
+        return [x % 10_000 for x in h] + [(x ^ x >> 29) % 10_000 for x in pairs]
+
+    raw, own = Counter(), Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        own.update(grams(t) if i in target else ())
+    n, m = sum(raw.values()), sum(own.values())
+    score = {}
+    for i, t in docs:
+        w = sum(math.log((own[x] + 1) / (m + 10_000)) - math.log((raw[x] + 1) / (n + 10_000)) for x in grams(t))
+        u = ((xxhash.xxh64_intdigest(f"{i}:{xxhash.xxh64_hexdigest(t, 42)}", 42) >> 11) + 0.5) / 2**53
+        score[i] = w - math.log(-math.log(u))
+    k = max(1, math.floor(len(good) / len({r["doc_id"] for r in labels}) * len(docs) + 0.5))
+    kept = set(sorted(score, key=score.get, reverse=True)[:k])
+    got = resampling.op4(spark, sf).collect()
+    assert len(got) == len(docs) and {r["doc_id"] for r in got if r["kept"]} == kept
+    assert all(abs(r["score"] - score[r["doc_id"]]) < 1e-6 for r in got)
+
+
+def test_null_ids_have_noise_of_their_own(spark):
+    rows = resampling.resample(edge.docs(spark, [(None, f"text {i}", "en", "s", 1) for i in range(400)]), spark.createDataFrame([], "target_id long"), 0.25).collect()
+    assert sum(r["kept"] for r in rows) == 100

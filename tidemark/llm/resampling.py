@@ -9,7 +9,8 @@ The k-th largest key is found exactly without sorting or collecting keys: keys a
 counts by 16 bits each narrow it down, every one over all rows. Counts of n-grams cover all texts.
 
 Edge cases: a null or empty text has weight 0 in logs, like a text that both models find as likely; noise depends on
-doc_id alone, so repeated rows are kept or dropped together, and ties at the k-th key are all kept; without a target
+doc_id and text (ids may be null), so repeated rows are kept or dropped together, and ties at the k-th key are all kept, so that
+more than k rows may be; without a target
 all ratios are 0; an empty table gives an empty result; extra columns are never read.
 """
 
@@ -55,11 +56,13 @@ def counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros((2, BUCKETS), dtype=np.int64), _Hashes()
         for batch in batches:
+            found = {True: [], False: []}
             for x, t in zip(common.encoded(batch.column("text").to_pylist()), batch.column("target").to_pylist(), strict=True):
-                b = np.bincount(buckets(x, hashes).astype(np.int64), minlength=BUCKETS)
-                total[0] += b
-                if t:
-                    total[1] += b
+                found[t].append(buckets(x, hashes).astype(np.uint16))
+            for t, some in found.items():
+                n = np.bincount(np.concatenate(some), minlength=BUCKETS) if some else 0
+                total[0] += n
+                total[1] += n if t else 0
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["bucket", "raw", "target"])
 
@@ -85,8 +88,10 @@ def weigh(text: Column, doc_id: Column, ratio: np.ndarray, seed: int = SEED) ->
 
         hashes = _Hashes()
         for texts, ids in batches:
-            w = np.array([ratio[buckets(x, hashes).astype(np.int64)].sum() for x in common.encoded(texts.to_pylist())], dtype=np.float64)
-            u = np.array([(xxhash.xxh64_intdigest(str(i), seed) >> 11) + 0.5 for i in ids.to_pylist()], dtype=np.float64) / 2.0**53
+            b = common.encoded(texts.to_pylist())
+            w = np.array([ratio[buckets(x, hashes).astype(np.int64)].sum() for x in b], dtype=np.float64)
+            noise = [xxhash.xxh64_intdigest(f"{i}:{xxhash.xxh64_hexdigest(x, seed)}", seed) for i, x in zip(ids.to_pylist(), b, strict=True)]
+            u = np.array([(x >> 11) + 0.5 for x in noise], dtype=np.float64) / 2.0**53
             s = w - np.log(-np.log(u)) if len(w) else w
             bits = (s + 0.0).view(np.int64)
             yield pa.StructArray.from_arrays([pa.array(w), pa.array(s), pa.array(np.where(bits < 0, bits ^ 0x7FFFFFFFFFFFFFFF, bits))], ["log_weight", "score", "place"])
