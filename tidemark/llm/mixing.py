@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source's documents are put in an order by a hash of doc_id, their words are laid end to end, and
+Each source's documents are put in an order by a hash of doc_id and text, their words are laid end to end, and
 the stream is cut into blocks of equal length (to a word). The schedule has one slot for each block
 that the mix takes. Slots are the points of the van der Corput sequence: the grid point g is read at
 position bit-reverse(g), and cumulative shares of the grid say which source a point belongs to, so each
@@ -11,7 +11,7 @@ Nothing is collected: positions in a source's stream and ranks of slots come fro
 (buckets of a source, then rows of a bucket), so a source with a third of all rows is many small groups.
 
 Edge cases: a null text has size 0; documents of size 0 are taken 0 times; a null source is a source of
-its own, last in order; repeated rows are documents of their own; an empty table gives an empty result;
+its own, last in order; repeated rows are documents of their own, next to each other and sorted in one task; an empty table gives an empty result;
 extra columns are never read. The hash and so the mix are the same in every run.
 """
 
@@ -54,7 +54,8 @@ def _before(by: list[str], *order: str) -> Window:
 
 
 def sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Targets, blocks and slots of each source; sized: (source, size). One row a source, however large the input.
+    """Targets, blocks and slots of each source; sized: (source, size). One row a source, however large the input. Windows over
+    all sources run in one task: they are for up to some millions of them.
 
     Targets share the mix by weight but stop at ``most`` times the source's size; the excess goes to the
     others by weight. Sorted by that limit over the weight, the level of the rest is the largest of the levels
@@ -92,7 +93,7 @@ def _block_of(word: Column) -> Column:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> Mix:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source).alias("source"), size.alias("size"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_md5"), F.col(source).alias("source"), size.alias("size"))
     narrow = common.materialize(narrow, "sizes")
     plan = common.materialize(sources(narrow, weights, share, most), "sources")
     total = plan.agg(F.sum("docs").alias("docs"), F.sum("slots").alias("slots")).first()
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     # Positions of documents in their source's stream.
     bits = min(30, max(0, math.ceil(math.log2(max(1, n / GROUP)))))
-    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")).cast("binary"))
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix:"), "text_md5").cast("binary"))
     known = common.small(plan).select("source_no", F.col("source").alias("plan_source"), "blocks", "width", "longer")
     placed = narrow.join(known, narrow["source"].eqNullSafe(F.col("plan_source"))).drop("plan_source").withColumn("place", place)
     placed = placed.withColumn("hi", F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long"))
@@ -178,7 +179,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = rf"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-        md5(coalesce(doc_id::varchar, '') || ':mix') as place from documents),
+        md5(coalesce(doc_id::varchar, '') || ':mix:' || md5(coalesce(text, ''))) as place from documents),
  s as (select source, sum(size)::bigint as source_size from d group by source),
  w as (select *, row_number() over (order by source is null, source) - 1 as no from s),
  x as (select *, [5.0::double, 2.0::double, 1.0::double][(no % 3 + 1)::int] as weight, source_size * 2.0::double as cap from w),
