@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a narrow side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of its texts and binaries up to which a side may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 _local: dict[str, str] = {}
 _written: list[str] = []
@@ -73,10 +75,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialized narrow df for broadcast if it has at most max_rows rows; else leaves it
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a materialized df for broadcast if it has at most max_rows rows and max_bytes of texts and binaries; else leaves it
     to a shuffled join, whose hot keys adaptive execution splits."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = sum(long, F.lit(0)).cast("long")
+    rows, octets_ = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and octets_ <= max_bytes else df
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -451,11 +451,14 @@ def connect(edges: DataFrame) -> DataFrame:
     edges = common.materialize(edges, "stars")
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
+        # Read from tables of their own, so that the join on a node of very many links is one that can be split.
+        least = common.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = common.materialize(both.where("b > a").join(common.small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        lesser = common.materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        star = large.join(common.small(lesser), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lesser).distinct()
         was, edges = edges, common.materialize(star, "stars")
+        for x in (least, large, lesser):
+            common.discard(x)
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         common.discard(was)
         if now == seen:
