@@ -206,3 +206,57 @@ def test_adaptive_levels():
     assert routing.adaptive_levels([2000] * 12) == [6, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8]
     assert routing.adaptive_levels([0] * 30)[-1] == 0 and routing.adaptive_levels([700] * 9) == [6] * 9
     assert routing.LEVELS[0] == (16, 8) and routing.LEVELS[-1] == (4096, 2048)
+
+
+def test_reads_prune(spark):
+    """A range of one key: one scan without a window, with key and range among its pushed filters and one shard opened."""
+    from tests import parity
+    from tidemark.plans import queries
+
+    df = queries.queries()["read_range_single"](spark, parity.SF)
+    long = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2_000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", long)
+    assert plan.count("FileScan") == 1 and "Window" not in plan and "value" in plan
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "EqualTo(secondary_index,7)" in pushed or "In(secondary_index, [7])" in pushed
+    assert "GreaterThanOrEqual(primary_index,473500)" in pushed and "LessThanOrEqual(primary_index,473800)" in pushed
+    assert "shard#" in plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
+    rows = [r["primary_index"] for r in df.collect()]
+    assert rows == sorted(rows) and rows
+
+
+def test_positions(spark):
+    rows = [(k, pi) for k, pi in [(1, 100), (2, 5), (1, 300), (1, 200), (1, 300), (2, 1)]]
+    df = routing.live(stream(spark, *rows))
+    for span in (1, 64, 10_000):
+        got = {(r["secondary_index"], r["arrival_seq"]): r["position"] for r in reads.positioned(df, span=span).collect()}
+        assert got == {(1, 0): 1, (1, 3): 2, (1, 2): 3, (1, 4): 4, (2, 5): 1, (2, 1): 2}
+    assert [r["position"] for r in reads.ordered(reads.positioned(df)).collect()] == [1, 2, 3, 4, 1, 2]
+    both = reads.merged(routing.logged(stream(spark, *rows)), routing.late(stream(spark, *rows)))
+    assert {(r["secondary_index"], r["arrival_seq"]): r["position"] for r in both.collect()} == got
+
+
+def test_edge_cases(spark):
+    """Nulls, empty frames, repeated rows and clashing names."""
+    odd = spark.createDataFrame([(1, None, 1, 1), (1, 5, 1, 2), (1, 5, 1, 2), (None, 7, 1, 3)], "secondary_index int, primary_index long, version int, arrival_seq long")
+    names = ("bucket", "n", "position", "shard", "begin", "tail", "before", "record", "max_pi", "route", "max_pi_before")
+    odd = odd.select("*", *[F.lit("own").alias(c) for c in names])
+    routed = routing.route(odd, SPAN, 3, 0)
+    assert routed.count() == 4 and {r["route"] for r in routed.where("primary_index is null").collect()} == {"late"}
+    df = routing.live(routed)
+    assert reads.read_range(df, 0, 9, 1).count() == 2 and reads.read_range(df, 0, 9).count() == 3
+    assert reads.positioned(df).count() == 4 and {r["bucket"] for r in reads.positioned(df).collect()} == {"own"}
+    assert reads.read_latest(df).count() == 2 and reads.distinct_keys(df).count() == 2
+    ix = index.sparse_index(routing.logged(routed), SPAN, 16).withColumn("begin", F.lit("own"))
+    bounds = spark.createDataFrame([(1, 0, 99)], "shard int, begin long, tail long")
+    assert maintenance.recovered(ix, bounds).columns == ix.columns and maintenance.recovered(ix, bounds).count() == 1
+    none = df.limit(0)
+    assert reads.read_range(none, 0, 9).count() == reads.positioned(none).count() == reads.read_latest(none).count() == reads.read_from_available(none, [1], 0, 5).count() == 0
+    assert routing.ingest_stats(routed.limit(0)).first()["late_arrivals"] == 0 and late.late_latest(none).count() == 0
+    assert index.sparse_index(none, SPAN).count() == 0 and maintenance.truncation_points(ix.limit(0), 5).count() == 0
+
+
+def test_level_changes():
+    assert routing.level_changes([2000] * 30) == (8, 6, 0) and routing.level_changes([0] * 5 + [700]) == (5, 0, 1) and routing.level_changes([]) == (6, 0, 0)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidemark.operators import routing
+from tidemark.sources.store import Store
 from tidemark.streaming import router
 
 COLUMNS = "event_id long, secondary_index int, primary_index long, version int, value double, arrival_seq long"
@@ -47,3 +48,16 @@ def test_stream_in_several_batches(spark, tmp_path):
         router.run_into(router.route_stream(live, 30, 50), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = {r["event_id"]: r["route"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == sequential(rows, 30, 50)
+
+
+def test_into_a_store(spark, tmp_path):
+    """Micro-batches of one file each are appended once, and now and then compacted."""
+    rows, source = sorted(make(5), key=lambda r: r[5]), str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100 : (k + 1) * 100], COLUMNS).coalesce(1).write.mode("append").parquet(source)
+    store = Store(spark, str(tmp_path / "store"))
+    live = router.files_as_stream(spark, source, spark.read.parquet(source).schema, 1)
+    query = router.into_store(router.route_stream(live, 30, 50), store, str(tmp_path / "checkpoint"), 2, availableNow=True)
+    query.awaitTermination()
+    assert {r["event_id"]: r["route"] for r in store.read().collect()} == sequential(rows, 30, 50)
+    assert len(store._manifest()["parts"]) < 4 and store._manifest()["streams"] == {str(tmp_path / "checkpoint"): 3}

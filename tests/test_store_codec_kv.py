@@ -19,10 +19,12 @@ def records(spark, values, key=1):
 def test_store_appends_and_reads(spark, tmp_path):
     with Store(spark, str(tmp_path / "s")) as s:
         s.append(records(spark, range(100, 110)))
-        s.append(records(spark, range(200, 210), -2), batch="b1")
-        s.append(records(spark, range(200, 210), -2), batch="b1")
-        assert s.read().count() == 20 and s.read(105, 204).count() == 10
-        assert len(s.read(150).inputFiles()) < len(s.read().inputFiles())
+        s.append(records(spark, range(200, 210), -2), "b", 1)
+        s.append(records(spark, range(200, 210), -2), "b", 1)
+        s.append(records(spark, range(200, 210), -2), "b", 0)
+        assert s.read().count() == 20 and s.read(None, 105, 204).count() == 10
+        assert s.read(1).count() == 10 and s.read([-2, 1], 205).count() == 5 and s.read(spark.createDataFrame([(-2,), (7,)], "k int")).count() == 10
+        assert len(s.read(None, 150).inputFiles()) < len(s.read().inputFiles())
         assert s.versions() == [1, 2]
     with pytest.raises(RuntimeError, match="closed"):
         s.read()
@@ -52,6 +54,53 @@ def test_a_broken_write_leaves_no_trace(spark, tmp_path):
     assert s.read().count() == 5
 
 
+def manifest(folder, n):
+    return f"{folder}/s/manifest/{n:012d}.json"
+
+
+def test_a_cut_manifest_leaves_the_version_before(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.append(records(spark, range(5)))
+    s.append(records(spark, range(5, 8)))
+    for text in ('{"parts": [', ""):
+        with open(manifest(tmp_path, 2), "w") as f:
+            f.write(text)
+        os.path.exists(f"{tmp_path}/s/manifest/.{2:012d}.json.crc") and os.remove(f"{tmp_path}/s/manifest/.{2:012d}.json.crc")
+        assert s.read().count() == 5
+    s.append(records(spark, range(8, 12)))
+    assert s.versions() == [1, 2, 3] and s.read().count() == 9
+
+
+def test_a_version_is_never_written_over(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "s"))
+    s.append(records(spark, range(5)))
+    monkeypatch.setattr(Store, "versions", lambda self: [])
+    with pytest.raises(Exception, match="exists"):
+        s.append(records(spark, range(5)))
+    monkeypatch.undo()
+    assert s.versions() == [1] and s.read().count() == 5
+
+
+def test_compaction(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    for k in range(5):
+        s.append(records(spark, range(10 * k, 10 * k + 10)), "live", k)
+    assert s.compact() == 5 and s.compact() == 0 and len(s._manifest()["parts"]) == 1
+    s.append(records(spark, range(10)), "live", 4)
+    assert sorted(r["primary_index"] for r in s.read().collect()) == list(range(50)) and s._manifest()["streams"] == {"live": 4}
+
+
+def test_files_are_sorted_by_key_and_range(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    df = records(spark, range(300)).withColumn("secondary_index", (F.col("primary_index") % 7).cast("int"))
+    s.append(df.orderBy(F.rand(1)))
+    rows = spark.read.parquet(f"{tmp_path}/s/data").select("secondary_index", "primary_index", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).orderBy("n").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["f"], []).append((r["secondary_index"], r["primary_index"]))
+    assert all(x == sorted(x) for x in by.values()) and sum(map(len, by.values())) == 300
+
+
 def test_payload_bytes_survive(spark, tmp_path):
     s, noise = Store(spark, str(tmp_path / "s")), os.urandom(1024)
     s.append(spark.createDataFrame([(100, 1, 1, bytearray(noise), 0), (101, 1, 1, bytearray(), 1)], ENVELOPE))
@@ -95,9 +144,22 @@ def test_kv(spark):
 
 def test_kv_keys_must_ascend(spark):
     t = pairs(spark, [1, 2, 3])
-    assert kv.put(t, pairs(spark, [4, 5])).count() == 5
-    with pytest.raises(Exception, match="ascend"):
-        kv.put(t, pairs(spark, [3])).collect()
-    puts = spark.createDataFrame([(i, k) for i, k in enumerate([1, 5, 3, 5, 6])], "at long, k long")
+
+    def puts(*keys):
+        return spark.createDataFrame([(i, k, 7) for i, k in enumerate(keys)], "at long, k long, v long")
+
     for span in (2, 100):
-        assert kv.out_of_order(puts, "at", span).first()[0] == 2
+        assert sorted(r["k"] for r in kv.put(t, puts(4, 5, 9), "at", span).collect()) == [1, 2, 3, 4, 5, 9]
+        assert kv.put(t.limit(0), puts(-5, 0), "at", span).count() == 2 and kv.put(t, puts(), "at", span).count() == 3
+        for bad in ([3], [4, 5, 5], [9, 4], [4, None]):
+            with pytest.raises(Exception, match="ascend"):
+                kv.put(t, puts(*bad), "at", span).collect()
+        assert kv.out_of_order(puts(1, 5, 3, 5, 6), "at", span).first()[0] == 2
+
+
+def test_kv_order(spark):
+    t = kv.delete(pairs(spark, [30, 10, 20, 40]), spark.createDataFrame([(20,)], "k long"))
+    assert [r["k"] for r in kv.scan(t, 10, 40).collect()] == [10, 30, 40]
+    assert {r["k"]: r["position"] for r in kv.positioned(kv.scan(t, 0, 99), 15).collect()} == {10: 1, 30: 2, 40: 3}
+    odd = spark.createDataFrame([(None, 1, False), (2, None, None)], "k long, v long, deleted boolean")
+    assert kv.there(odd).count() == 2 and kv.scan(odd, 0, 9).count() == 1 and kv.stats(odd).count() == 2

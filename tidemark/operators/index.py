@@ -1,4 +1,8 @@
-"""The sparse index and as-of lookups in it. An address is a record's arrival_seq."""
+"""The sparse index and as-of lookups in it. An address is a record's arrival_seq.
+
+Edge cases: index rows with a null primary_index are never found, probes with one find nothing; repeated records are numbered each;
+an empty log has an empty index, in which every probe finds null; columns beside the record's own aren't read.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from tidemark.schema import SHARDS, shard_of
 
 def sparse_index(log: DataFrame, span: int, spacing: int = 16) -> DataFrame:
     """The first and every spacing-th logged record of a key; of equal primary indexes the first stays."""
+    log = log.select("secondary_index", "primary_index", "arrival_seq")
     nth = prefix.running(log, ["secondary_index"], ["arrival_seq"], span, {"n": (F.lit(1), F.sum, prefix.add)})
     return nth.where((F.col("n") == 1) | (F.col("n") % spacing == 0)).groupBy("secondary_index", "primary_index").agg(F.min("arrival_seq").alias("addr"))
 

@@ -1,4 +1,4 @@
-"""Reads of late records alone (routing.late)."""
+"""Reads of late records alone (routing.late): by primary_index, then arrival. Edge cases are those of ``reads``."""
 
 from __future__ import annotations
 

@@ -1,10 +1,15 @@
-"""Retention and recovery."""
+"""Retention and recovery.
+
+Edge cases: rows with a null primary_index or address don't survive; repeated rows stay each; an empty index gives empty results;
+other columns are carried along by ``retained`` and ``recovered``, whose join column is named so that it clashes with none.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import prefix
 from tidemark.schema import SHARDS, shard_of
 
 
@@ -30,5 +35,7 @@ def floor_reindex(index: DataFrame, cutoff: int, shards: int = SHARDS) -> DataFr
 
 def recovered(index: DataFrame, bounds: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Index rows whose address lies within [begin, tail) of their shard; bounds: (shard, begin, tail)."""
-    at = index.withColumn("shard", shard_of(F.col("secondary_index"), shards))
-    return at.join(F.broadcast(bounds), "shard").where("addr >= begin and addr < tail").select(*index.columns)
+    names = prefix.fresh(index, "shard", "begin", "tail")
+    side = bounds.select(*[F.col(c).alias(n) for c, n in zip(("shard", "begin", "tail"), names, strict=True)])
+    on = (shard_of(F.col("secondary_index"), shards) == F.col(names[0])) & (F.col("addr") >= F.col(names[1])) & (F.col("addr") < F.col(names[2]))
+    return index.join(side, on).select(*index.columns)

@@ -2,6 +2,9 @@
 
 Records at or above their key's running maximum are ``normal``; up to ``jitter`` behind it ``jitter``; further behind,
 ``dropped`` if below the retention floor, else ``late``. Late records are kept and merged on read.
+
+Edge cases: keys aren't null by the record's schema (one that is is routed among its neighbours in arrival only); a record with a null primary_index is late and raises no maximum; repeated records are routed each;
+an empty stream gives an empty result; columns named max_pi, route or route_rank are replaced, others carried along.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def route_of(primary_index: Column, max_pi: Column, jitter: int = 0, floor: int
     behind = F.try_subtract(max_pi, F.lit(jitter))  # null if it overflows: then nothing is too far behind
     out = F.when(primary_index >= max_pi, "normal")
     if jitter > 0:
-        out = out.when(behind.isNull() | (primary_index >= behind), "jitter")
+        out = out.when((behind.isNull() & primary_index.isNotNull()) | (primary_index >= behind), "jitter")
     if floor is not None:
         out = out.when(primary_index < floor, "dropped")
     return out.otherwise("late")
@@ -38,10 +41,15 @@ def route_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("secondary_index", "route").agg(F.count(F.lit(1)).alias("c"))
 
 
-def ingest_stats(routed: DataFrame) -> DataFrame:
-    """One row of counters. Queue counters have no counterpart here: writes are synchronous."""
+def ingest_stats(routed: DataFrame, depths: list[int] = ()) -> DataFrame:
+    """One row of counters. depths: of the queue at each batch, in order. Writes are synchronous, so nothing is pending after one and no index row is lost."""
     n = lambda r: F.coalesce(F.sum((F.col("route") == r).cast("long")), F.lit(0))
-    return routed.agg(n("late").alias("late_arrivals"), n("jitter").alias("jitter_absorbed"), n("dropped").alias("dropped_late_arrivals"))
+    level, ups, downs = level_changes(depths)
+    own = {"scale_ups": ups, "scale_downs": downs, "dropped_index_rows": 0, "pending_index_rows": 0}
+    return routed.agg(
+        n("late").alias("late_arrivals"), n("jitter").alias("jitter_absorbed"), n("dropped").alias("dropped_late_arrivals"),
+        F.lit(level).alias("adaptive_level"), *[F.lit(v).cast("long").alias(k) for k, v in own.items()],
+    )
 
 
 def live(routed: DataFrame) -> DataFrame:
@@ -61,13 +69,25 @@ def late(routed: DataFrame) -> DataFrame:
 LEVELS = tuple((16 << i, 8 << i) for i in range(9))
 
 
-def adaptive_levels(depths: list[int], start: int = 6, high: int = 1024, low: int = 512, rest: int = 5) -> list[int]:
-    """The level after each batch, given the queue's depth at it: a level up above ``high``, one down below ``low``, within
-    the levels there are; after each such step ``rest`` batches pass before the next."""
+def _steps(depths: list[int], start: int, high: int, low: int, rest: int) -> list[tuple[int, int]]:
+    """The level after each batch, and the step that was asked for at it."""
     level, since, out = max(0, min(start, len(LEVELS) - 1)), 0, []
     for d in depths:
         since += 1
-        if since >= rest and (d > high or d < low):
-            level, since = max(0, min(len(LEVELS) - 1, level + (1 if d > high else -1))), 0
-        out.append(level)
+        step = (int(d > high) - int(d < low)) if since >= rest else 0
+        if step:
+            level, since = max(0, min(len(LEVELS) - 1, level + step)), 0
+        out.append((level, step))
     return out
+
+
+def adaptive_levels(depths: list[int], start: int = 6, high: int = 1024, low: int = 512, rest: int = 5) -> list[int]:
+    """The level after each batch, given the queue's depth at it: a level up above ``high``, one down below ``low``, within
+    the levels there are; after each such step ``rest`` batches pass before the next."""
+    return [level for level, _ in _steps(depths, start, high, low, rest)]
+
+
+def level_changes(depths: list[int], start: int = 6, high: int = 1024, low: int = 512, rest: int = 5) -> tuple[int, int, int]:
+    """The last level, and how often a step up and one down was asked for, those at the last level included."""
+    steps = _steps(depths, start, high, low, rest)
+    return (steps[-1][0] if steps else start), sum(s > 0 for _, s in steps), sum(s < 0 for _, s in steps)

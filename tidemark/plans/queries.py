@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.operators import index, kv, late, maintenance, reads, routing
-from tidemark.schema import shard_of
+from tidemark.schema import MAX_PAYLOAD, quarantined, shard_of
+from tidemark.sources import scratch
 from tidemark.sources.events import ARRIVAL_SPAN, as_stream, read_events
 from tidemark.sources.store import Store
 from tidemark.streaming import router
@@ -23,7 +20,6 @@ JITTER, FLOOR, CUTOFF, SPACING = 48, 473_400, 473_700, 16
 HOURS_SPAN = 168
 SOME = (1, 5, 9, 42)
 FEW = (1, 2, 3)
-PAYLOAD_LIMIT = 16_384
 
 
 def _src(s: SparkSession, d: str) -> DataFrame:
@@ -34,38 +30,58 @@ def _routed(s: SparkSession, d: str) -> DataFrame:
     return routing.route(_src(s, d), ARRIVAL_SPAN, JITTER, FLOOR)
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def _store(s: SparkSession, d: str) -> Store:
+    """The routed records, stored once a session for all reads."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _stores:
+        store = Store(s, scratch.folder(s, "routed"))
+        store.append(routing.live(_routed(s, d)))
+        _stores[key] = store
+    return _stores[key]
+
+
 def _live(s: SparkSession, d: str) -> DataFrame:
-    return routing.live(_routed(s, d))
+    return _store(s, d).read()
+
+
+def _range(s: SparkSession, d: str, start: int, end: int, keys=None, limit: int = 0) -> DataFrame:
+    """A range from the store, which prunes by keys and range."""
+    return reads.read_range(_store(s, d).read(keys, start, end), start, end, keys, limit)
 
 
 def _late(s: SparkSession, d: str) -> DataFrame:
-    return routing.late(_routed(s, d))
+    return routing.late(_live(s, d)).drop("route_rank")
+
+
+def _logged(s: SparkSession, d: str) -> DataFrame:
+    return routing.logged(_live(s, d))
 
 
 def _index(s: SparkSession, d: str) -> DataFrame:
-    return index.sparse_index(routing.logged(_routed(s, d)), ARRIVAL_SPAN, SPACING)
+    return index.sparse_index(_logged(s, d), ARRIVAL_SPAN, SPACING)
 
 
 def _kv(s: SparkSession, d: str) -> DataFrame:
     return read_events(s, d).select(F.col("event_id").alias("k"), F.col("value").alias("v"), (F.col("event_id") % 97 == 5).alias("deleted"))
 
 
-def _shared(s: SparkSession, tag: str) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _append_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    store = Store(s, _shared(s, "store"))
+    store = Store(s, scratch.folder(s, "store"))
     store.append(_src(s, d))
     return store.read().select("event_id", "secondary_index", "primary_index", "version", "value")
 
 
+def _retention(s: SparkSession, d: str) -> DataFrame:
+    """What a store returns after it was told to drop what lies below the cutoff."""
+    store = Store(s, scratch.folder(s, "retained"))
+    store.append(_live(s, d))
+    store.retain(CUTOFF)
+    return store.read().select(*_RI)
+
+
 def _pooled(s: SparkSession, d: str) -> DataFrame:
     rows: list = []
 
@@ -73,13 +89,13 @@ def _pooled(s: SparkSession, d: str) -> DataFrame:
         rows.append((row["primary_index"], row["event_id"]))
         return len(rows) < 5
 
-    reads.read_range_pooled(_live(s, d), 7, 473_500, 473_800, take)
+    reads.read_range_pooled(_store(s, d).read(7, 473_500, 473_800), 7, 473_500, 473_800, take)
     return s.createDataFrame(rows, "primary_index long, event_id long")
 
 
 def _empty_keys(s: SparkSession, d: str) -> DataFrame:
     asked = _src(s, d).where("secondary_index < 12").select("secondary_index")
-    found = reads.read_range(_live(s, d), 473_500, 473_510, reads.distinct_keys(asked))
+    found = reads.read_range(_store(s, d).read(None, 473_500, 473_510), 473_500, 473_510, reads.distinct_keys(asked))
     return reads.with_empty_keys(found, asked).groupBy("secondary_index").agg(F.count("event_id").alias("c"))
 
 
@@ -103,25 +119,34 @@ def _decode_header(s: SparkSession, d: str) -> DataFrame:
 
 
 def _can_decode(s: SparkSession, d: str) -> DataFrame:
+    """Payloads of 0 to 32 bytes, by what their versions need."""
     registry = codec.VersionRegistry().register(1, [("value", "f4"), ("counter", "i4")]).register(2, [("lat", "f8"), ("lon", "f8"), ("speed", "f4"), ("heading", "f4")])
-    return _live(s, d).select("event_id", registry.can_decode(F.col("version"), F.lit(8)).alias("ok"))
+    payload = F.repeat(F.lit("x"), (F.col("event_id") % 33).cast("int")).cast("binary")
+    return _live(s, d).withColumn("payload", payload).select("event_id", registry.can_decode(F.col("version"), F.octet_length("payload")).alias("ok"))
 
 
-def _adaptive(s: SparkSession, d: str) -> DataFrame:
-    """Levels for a queue as deep as four times each day's events, in order."""
+def _depths(s: SparkSession, d: str) -> list[int]:
+    """A queue as deep as four times each day's events, in order."""
     days = read_events(s, d).groupBy(F.to_date("ts").alias("day")).count().orderBy("day").collect()  # one row a day
-    depths = [4 * r["count"] for r in days]
+    return [4 * r["count"] for r in days]
+
+
+def _adaptive(s: SparkSession, d: str) -> DataFrame:
+    depths = _depths(s, d)
     return s.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(depths, routing.adaptive_levels(depths), strict=True))], "batch int, depth long, level int")
 
 
 def _payload_guard(s: SparkSession, d: str) -> DataFrame:
-    texts = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return texts.where(F.col("n_bytes") > PAYLOAD_LIMIT)
+    """The records that are turned away, of payloads and versions on both sides of their limits."""
+    texts = s.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") * 7 % 70_000).cast("int").alias("version"))
+    payload = F.repeat(F.lit("x"), (MAX_PAYLOAD - 5 + F.col("doc_id") % 11).cast("int")).cast("binary")
+    _, rejected = quarantined(texts.withColumn("payload", payload))
+    return rejected.select("doc_id", "version", F.octet_length("payload").cast("long").alias("n_bytes"))
 
 
 def _stream_route(s: SparkSession, d: str) -> DataFrame:
     events = read_events(s, d)
-    folder = _shared(s, "stream")
+    folder = scratch.folder(s, "stream")
     live = as_stream(router.files_as_stream(s, f"{d}/events.parque[t]", events.schema))
     router.run_into(router.route_stream(live, JITTER, FLOOR), f"{folder}/out", f"{folder}/checkpoint")
     return s.read.parquet(f"{folder}/out").select("event_id", "secondary_index", "primary_index", "route")
@@ -129,7 +154,7 @@ def _stream_route(s: SparkSession, d: str) -> DataFrame:
 
 def _asof_join(s: SparkSession, d: str) -> DataFrame:
     """The index is stored first, as the join reads it twice."""
-    path = _shared(s, "index")
+    path = scratch.folder(s, "index")
     _index(s, d).write.parquet(path)
     return index.asof_join(_src(s, d), s.read.parquet(path), "event_id", HOURS_SPAN)
 
@@ -138,11 +163,10 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
     return reads.read_latest(_live(s, d)).select("secondary_index", "primary_index", "event_id")
 
 
-_RI = ("secondary_index", "primary_index", "event_id")
 _REC = ("primary_index", "secondary_index", "version", "value")
 
 _PI = "epoch_us(ts) // 3600000000"
-_CTES = f"""with src as (
+_CTES = f"""with recursive src as (
   select event_id, {_PI} as primary_index, cast(user_id as int) as secondary_index, cast(1 + event_id % 3 as int) as version, value,
          (event_id + (event_id * 7919) % 2003) * 1048576 + event_id as arrival_seq from events),
 run as (select *, max(primary_index) over (partition by secondary_index order by arrival_seq rows between unbounded preceding and current row) as max_pi from src),
@@ -152,9 +176,20 @@ live as (select *, case when route = 'late' then 1 else 0 end as route_rank from
 late as (select * from routed where route = 'late'),
 lg as (select *, row_number() over (partition by secondary_index order by arrival_seq) as n from routed where route in ('normal', 'jitter')),
 ix as (select secondary_index, primary_index, min(arrival_seq) as addr from lg where n = 1 or n % {SPACING} = 0 group by secondary_index, primary_index),
-kv as (select event_id as k, value as v, event_id % 97 = 5 as deleted from events)
+kv as (select event_id as k, value as v, event_id % 97 = 5 as deleted from events),
+days as (select row_number() over (order by d) - 1 as batch, 4 * c as depth from (select cast(ts as date) as d, count(*) as c from events group by 1) t),
+walk as (
+  select cast(-1 as bigint) as batch, cast(0 as bigint) as depth, 6 as level, 0 as since, 0 as ups, 0 as downs
+  union all
+  select d.batch, d.depth, case when w.since < 4 then w.level when d.depth > 1024 then least(8, w.level + 1) when d.depth < 512 then greatest(0, w.level - 1) else w.level end,
+    case when w.since >= 4 and (d.depth > 1024 or d.depth < 512) then 0 else w.since + 1 end,
+    w.ups + case when w.since >= 4 and d.depth > 1024 then 1 else 0 end, w.downs + case when w.since >= 4 and d.depth < 512 then 1 else 0 end
+  from walk w join days d on d.batch = w.batch + 1)
 """
-_FIRST = "row_number() over (partition by secondary_index order by primary_index, route_rank, arrival_seq) as k"
+_N = "row_number() over (partition by secondary_index order by primary_index, route_rank, arrival_seq) as position"
+_LATE_N = "row_number() over (partition by secondary_index order by primary_index, arrival_seq) as position"
+_RI = ("secondary_index", "primary_index", "event_id")
+_RIP = (*_RI, "position")
 
 Q = Callable[[SparkSession, str], DataFrame]
 #: Name: the query, and its SQL after the common table expressions (None: SQL can't say it).
@@ -167,35 +202,49 @@ TABLE: dict[str, tuple[Q, str | None]] = {
     "route_dropped": (lambda s, d: _routed(s, d).where("route = 'dropped'").select("event_id", "secondary_index", "primary_index"), "select event_id, secondary_index, primary_index from routed where route = 'dropped'"),
     "late_arrivals": (lambda s, d: _late(s, d).select(*_RI, "version", "value"), "select secondary_index, primary_index, event_id, version, value from late"),
     "ingest_stats": (
-        lambda s, d: routing.ingest_stats(_routed(s, d)),
-        "select cast(sum(case when route='late' then 1 else 0 end) as bigint) as late_arrivals, cast(sum(case when route='jitter' then 1 else 0 end) as bigint) as jitter_absorbed, cast(sum(case when route='dropped' then 1 else 0 end) as bigint) as dropped_late_arrivals from routed",
+        lambda s, d: routing.ingest_stats(_routed(s, d), _depths(s, d)),
+        "select cast(sum(case when route='late' then 1 else 0 end) as bigint) as late_arrivals, cast(sum(case when route='jitter' then 1 else 0 end) as bigint) as jitter_absorbed, cast(sum(case when route='dropped' then 1 else 0 end) as bigint) as dropped_late_arrivals,"
+        " (select level from walk order by batch desc limit 1) as adaptive_level, (select cast(max(ups) as bigint) from walk) as scale_ups, (select cast(max(downs) as bigint) from walk) as scale_downs, cast(0 as bigint) as dropped_index_rows, cast(0 as bigint) as pending_index_rows from routed",
     ),
     "sparse_index": (_index, "select secondary_index, primary_index, addr from ix"),
-    "adaptive_levels": (_adaptive, None),
-    "payload_guard": (_payload_guard, f"select doc_id, cast(strlen(text) as bigint) as n_bytes from documents where strlen(text) > {PAYLOAD_LIMIT}"),
+    "adaptive_levels": (_adaptive, "select cast(batch as int) as batch, depth, level from walk where batch >= 0"),
+    "payload_guard": (
+        _payload_guard,
+        "select doc_id, version, n_bytes from (select doc_id, cast(doc_id * 7 % 70000 as int) as version, cast(65530 + doc_id % 11 as bigint) as n_bytes from documents) t where n_bytes > 65535 or version > 65535",
+    ),
     "shard_of": (lambda s, d: _live(s, d).groupBy(shard_of(F.col("secondary_index")).alias("shard")).agg(F.count(F.lit(1)).alias("c")), "select secondary_index & 3 as shard, cast(count(*) as bigint) as c from live group by secondary_index & 3"),
-    "read_range_single": (lambda s, d: reads.read_range(_live(s, d), 473_500, 473_800, 7).select(*_REC), "select primary_index, secondary_index, version, value from live where secondary_index = 7 and primary_index between 473500 and 473800"),
+    "read_range_single": (
+        lambda s, d: reads.ordered(_range(s, d, 473_500, 473_800, 7)).select(*_REC),
+        "select primary_index, secondary_index, version, value from live where secondary_index = 7 and primary_index between 473500 and 473800",
+    ),
+    "read_range_single_positions": (
+        lambda s, d: reads.positioned(_range(s, d, 473_500, 473_800, 7)).select(*_REC, "position"),
+        f"select primary_index, secondary_index, version, value, {_N} from live where secondary_index = 7 and primary_index between 473500 and 473800",
+    ),
     "read_range_multi": (
-        lambda s, d: reads.read_range(_live(s, d), 473_500, 473_900, SOME).select("secondary_index", "primary_index", "version", "event_id"),
-        "select secondary_index, primary_index, version, event_id from live where secondary_index in (1, 5, 9, 42) and primary_index between 473500 and 473900",
+        lambda s, d: reads.positioned(_range(s, d, 473_500, 473_900, SOME)).select("secondary_index", "primary_index", "version", "event_id", "position"),
+        f"select secondary_index, primary_index, version, event_id, {_N} from live where secondary_index in (1, 5, 9, 42) and primary_index between 473500 and 473900",
     ),
     "read_range_multi_limit": (
-        lambda s, d: reads.read_range(_live(s, d), 473_500, 473_900, SOME, 3).select(*_RI),
-        f"select secondary_index, primary_index, event_id from (select *, {_FIRST} from live where secondary_index in (1, 5, 9, 42) and primary_index between 473500 and 473900) t where k <= 3",
+        lambda s, d: _range(s, d, 473_500, 473_900, SOME, 3).select(*_RIP),
+        f"select secondary_index, primary_index, event_id, position from (select *, {_N} from live where secondary_index in (1, 5, 9, 42) and primary_index between 473500 and 473900) t where position <= 3",
     ),
     "read_range_multi_keys": (
         _empty_keys,
         "select q.secondary_index, cast(count(l.event_id) as bigint) as c from (select distinct secondary_index from src where secondary_index < 12) q left join live l on l.secondary_index = q.secondary_index and l.primary_index between 473500 and 473510 group by q.secondary_index",
     ),
-    "read_range_all": (lambda s, d: reads.read_range(_live(s, d), 473_500, 473_900).select(*_REC), "select secondary_index, primary_index, version, value from live where primary_index between 473500 and 473900"),
+    "read_range_all": (
+        lambda s, d: reads.positioned(_range(s, d, 473_500, 473_900)).select(*_REC, "position"),
+        f"select secondary_index, primary_index, version, value, {_N} from live where primary_index between 473500 and 473900",
+    ),
     "read_range_all_limit": (
-        lambda s, d: reads.read_range(_live(s, d), 473_500, 473_900, limit=5).select(*_RI),
-        f"select secondary_index, primary_index, event_id from (select *, {_FIRST} from live where primary_index between 473500 and 473900) t where k <= 5",
+        lambda s, d: _range(s, d, 473_500, 473_900, limit=5).select(*_RIP),
+        f"select secondary_index, primary_index, event_id, position from (select *, {_N} from live where primary_index between 473500 and 473900) t where position <= 5",
     ),
     "read_range_pooled": (_pooled, "select primary_index, event_id from live where secondary_index = 7 and primary_index between 473500 and 473800 order by primary_index, route_rank, arrival_seq limit 5"),
-    "earliest_primary_index": (lambda s, d: reads.earliest(_live(s, d), FEW, 473_600), "select min(primary_index) as earliest from live where secondary_index in (1, 2, 3) and primary_index >= 473600"),
+    "earliest_primary_index": (lambda s, d: reads.earliest(_store(s, d).read(FEW, 473_600), FEW, 473_600), "select min(primary_index) as earliest from live where secondary_index in (1, 2, 3) and primary_index >= 473600"),
     "read_from_available": (
-        lambda s, d: reads.read_from_available(_live(s, d), FEW, 473_600, 24).select("range_end", *_RI),
+        lambda s, d: reads.read_from_available(_store(s, d).read(FEW, 473_600), FEW, 473_600, 24).select("range_end", *_RI),
         "select w.e + 24 as range_end, l.secondary_index, l.primary_index, l.event_id from live l cross join (select min(primary_index) as e from live where secondary_index in (1, 2, 3) and primary_index >= 473600) w where l.secondary_index in (1, 2, 3) and l.primary_index between w.e and w.e + 24",
     ),
     "read_latest": (_latest, "select secondary_index, primary_index, event_id from (select *, row_number() over (partition by secondary_index order by primary_index desc, route_rank, arrival_seq desc) as k from live) t where k = 1"),
@@ -205,21 +254,24 @@ TABLE: dict[str, tuple[Q, str | None]] = {
     "asof_join": (_asof_join, "select p.event_id, i.addr from src p asof left join ix i on p.secondary_index = i.secondary_index and p.primary_index >= i.primary_index"),
     "shard_min_address": (lambda s, d: index.shard_min_address(_index(s, d), CUTOFF), f"select secondary_index & 3 as shard, min(addr) as addr from ix where primary_index <= {CUTOFF} group by secondary_index & 3"),
     "merge_late": (
-        lambda s, d: reads.merged(routing.logged(_routed(s, d)), _late(s, d)).select(*_RI, "route"),
-        "select secondary_index, primary_index, event_id, route from lg union all select secondary_index, primary_index, event_id, route from late",
+        lambda s, d: reads.merged(_logged(s, d), _late(s, d)).select(*_RIP, "route"),
+        f"select secondary_index, primary_index, event_id, route, {_N} from live",
     ),
     "merge_late_per_key": (
-        lambda s, d: reads.merged(routing.logged(_routed(s, d)), _late(s, d), 3).select(*_RI),
-        "select secondary_index, primary_index, event_id from (select *, row_number() over (partition by secondary_index order by primary_index, r, arrival_seq) as k from (select secondary_index, primary_index, event_id, arrival_seq, 0 as r from lg union all select secondary_index, primary_index, event_id, arrival_seq, 1 as r from late) u) t where k <= 3",
+        lambda s, d: reads.merged(_logged(s, d), _late(s, d), 3).select(*_RIP),
+        f"select secondary_index, primary_index, event_id, position from (select *, {_N} from live) t where position <= 3",
+    ),
+    "late_range": (
+        lambda s, d: reads.positioned(late.late_range(_late(s, d), 473_400, 473_900, 5), late.ORDER).select("secondary_index", "primary_index", "version", "event_id", "position"),
+        f"select secondary_index, primary_index, version, event_id, {_LATE_N} from late where secondary_index = 5 and primary_index between 473400 and 473900",
     ),
-    "late_range": (lambda s, d: late.late_range(_late(s, d), 473_400, 473_600).select("secondary_index", "primary_index", "version", "event_id"), "select secondary_index, primary_index, version, event_id from late where primary_index between 473400 and 473600"),
     "late_range_multi": (
-        lambda s, d: late.late_first(_late(s, d), SOME, 3).select(*_RI),
-        "select secondary_index, primary_index, event_id from (select *, row_number() over (partition by secondary_index order by primary_index, arrival_seq) as k from late where secondary_index in (1, 5, 9, 42)) t where k <= 3",
+        lambda s, d: late.late_range(_late(s, d), 473_400, 473_900, SOME, 3).select(*_RIP),
+        f"select secondary_index, primary_index, event_id, position from (select *, {_LATE_N} from late where secondary_index in (1, 5, 9, 42) and primary_index between 473400 and 473900) t where position <= 3",
     ),
     "late_range_all": (
-        lambda s, d: late.late_range(_late(s, d), 473_400, 473_900, limit=2).select(*_RI),
-        "select secondary_index, primary_index, event_id from (select *, row_number() over (partition by secondary_index order by primary_index, arrival_seq) as k from late where primary_index between 473400 and 473900) t where k <= 2",
+        lambda s, d: late.late_range(_late(s, d), 473_400, 473_900, limit=2).select(*_RIP),
+        f"select secondary_index, primary_index, event_id, position from (select *, {_LATE_N} from late where primary_index between 473400 and 473900) t where position <= 2",
     ),
     "late_earliest": (lambda s, d: late.late_earliest(_late(s, d), FEW, 473_600), "select min(primary_index) as earliest from late where secondary_index in (1, 2, 3) and primary_index >= 473600"),
     "late_latest": (
@@ -227,7 +279,7 @@ TABLE: dict[str, tuple[Q, str | None]] = {
         "select l.secondary_index, l.primary_index, l.version, l.event_id from late l join (select secondary_index, max(primary_index) as mp from late group by secondary_index) x on l.secondary_index = x.secondary_index and l.primary_index = x.mp",
     ),
     "late_purge": (lambda s, d: late.late_purge(_late(s, d), CUTOFF)[1], f"select cast(count(*) as bigint) as remaining from late where primary_index >= {CUTOFF}"),
-    "retention_survivors": (lambda s, d: maintenance.retained(_live(s, d), CUTOFF).select(*_RI), f"select secondary_index, primary_index, event_id from live where primary_index >= {CUTOFF}"),
+    "retention_survivors": (_retention, f"select secondary_index, primary_index, event_id from live where primary_index >= {CUTOFF}"),
     "index_purge": (lambda s, d: maintenance.retained(_index(s, d), CUTOFF), f"select secondary_index, primary_index, addr from ix where primary_index >= {CUTOFF}"),
     "shard_truncation_points": (lambda s, d: maintenance.truncation_points(_index(s, d), CUTOFF), f"select secondary_index & 3 as shard, min(addr) as truncate_until from ix where primary_index >= {CUTOFF} group by secondary_index & 3"),
     "floor_reindex": (
@@ -236,15 +288,19 @@ TABLE: dict[str, tuple[Q, str | None]] = {
     ),
     "index_recover": (_index_recover, "select secondary_index, primary_index, addr from ix where addr >= 1000000000 and addr < 10000000000"),
     "decode_payload": (_decode_payload, "select event_id, cast(event_id % 4294967296 as bigint) as event_low, version from src where version = 1"),
-    "can_decode": (_can_decode, "select l.event_id, (s.version is not null and 8 >= s.size) as ok from live l left join (select 1 as version, 8 as size union all select 2 as version, 24 as size) s on l.version = s.version"),
+    "can_decode": (_can_decode, "select l.event_id, (s.version is not null and l.event_id % 33 >= s.size) as ok from live l left join (select 1 as version, 8 as size union all select 2 as version, 24 as size) s on l.version = s.version"),
     "decode_header": (_decode_header, "select event_id, primary_index - 473600 as primary_index, -secondary_index as secondary_index, version, 8 as payload_length from src"),
     "kv_put": (
-        lambda s, d: kv.out_of_order(_kv(s, d).withColumn("at", F.col("k") * 7919 % 1_000_003), "at", 65_536),
+        lambda s, d: kv.put(_kv(s, d).where("k < 500"), _kv(s, d).where("k >= 500").withColumn("at", F.col("k") * 3), "at"),
+        "select k, v, deleted from kv",
+    ),
+    "kv_out_of_order": (
+        lambda s, d: kv.out_of_order(_kv(s, d).withColumn("at", F.col("k") * 7919 % 1_000_003), "at"),
         "select cast(count(*) as bigint) as out_of_order from (select k, max(k) over (order by k * 7919 % 1000003 rows between unbounded preceding and 1 preceding) as pk from kv) t where k <= pk",
     ),
     "kv_get": (lambda s, d: kv.get(_kv(s, d), 123).select("k", "v"), "select k, v from kv where k = 123 and not deleted"),
     "kv_delete": (lambda s, d: kv.there(kv.delete(_kv(s, d).withColumn("deleted", F.lit(False)), _kv(s, d).where("deleted").select("k"))).select("k", "v"), "select k, v from kv where not deleted"),
-    "kv_range": (lambda s, d: kv.scan(_kv(s, d), 500, 900).select("k", "v"), "select k, v from kv where k between 500 and 900 and not deleted"),
+    "kv_range": (lambda s, d: kv.positioned(kv.scan(_kv(s, d), 500, 900)).select("k", "v", "position"), "select k, v, row_number() over (order by k) as position from kv where k between 500 and 900 and not deleted"),
     "kv_truncate": (lambda s, d: kv.truncate(_kv(s, d), 700).select("k", "v"), "select k, v from kv where k >= 700 and not deleted"),
     "kv_stats": (lambda s, d: kv.stats(_kv(s, d)), "select k // 1024 as block, cast(count(*) as bigint) as c, min(k) as min_key, max(k) as max_key from kv group by k // 1024"),
 }

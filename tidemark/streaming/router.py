@@ -63,11 +63,18 @@ def run_into(routed: DataFrame, folder: str, checkpoint: str) -> None:
         query.stop()
 
 
-def into_store(routed: DataFrame, store, checkpoint: str):
-    """Starts a query that appends each micro-batch to a store once, by its number; returns the query."""
-    return routed.writeStream.foreachBatch(lambda df, n: store.append(df, f"{checkpoint}#{n}")).option("checkpointLocation", checkpoint).start()
+def into_store(routed: DataFrame, store, checkpoint: str, compact_every: int = 64, **trigger):
+    """Starts a query that appends each micro-batch to a store once, by its number, and now and then compacts the store; returns the query."""
 
+    def add(df: DataFrame, n: int) -> None:
+        store.append(df, checkpoint, n)
+        if n % compact_every == compact_every - 1:
+            store.compact()
 
-def files_as_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Parquet files as a stream; path: a folder or a pattern."""
-    return spark.readStream.schema(schema).parquet(path)
+    return routed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+
+
+def files_as_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files as a stream; path: a folder or a pattern. files_per_batch bounds a micro-batch."""
+    stream = spark.readStream.schema(schema)
+    return (stream if files_per_batch is None else stream.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
