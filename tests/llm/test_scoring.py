@@ -93,6 +93,7 @@ def test_chunks_do_not_change_scores(monkeypatch):
     whole, begin = scoring.ngrams(texts)
     pieces = [p for t in texts for p in scoring.split(t)]
     monkeypatch.setattr(scoring, "CHUNK", 8)
+    monkeypatch.setattr(scoring, "PIECE", 8)
     parts = list(scoring.cells_of(texts))
     assert (np.concatenate([c for c, _, _ in parts]) == whole).all() and len(whole) == sum(map(len, texts))
     assert {i for _, _, i in parts} == {0, 2, 3} and sum(i == 2 for _, _, i in parts) == 7

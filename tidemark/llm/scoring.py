@@ -45,8 +45,8 @@ from tidemark.llm import common
 
 SYMBOLS, ORDER = 48, 4
 CELLS = SYMBOLS**ORDER
-#: Bytes of text whose n-grams are held at once.
-CHUNK = 8 << 20
+#: Bytes of text whose words, and whose n-grams of bytes, are held at once.
+CHUNK, PIECE = 4 << 20, 1 << 20
 #: Words of prior mass after each word.
 MU = 50.0
 #: Words of over this share of the corpus are spread over parts by pair.
@@ -87,21 +87,21 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cells_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """What ngrams gives, for pieces of about CHUNK bytes, and the number of the text with which a piece begins."""
-    for i, j in chunks(texts):
-        if j > i + 1 or len(texts[i]) <= CHUNK:
+    """What ngrams gives, for pieces of about PIECE bytes, and the number of the text with which a piece begins."""
+    for i, j in chunks(texts, PIECE):
+        if j > i + 1 or len(texts[i]) <= PIECE:
             yield *ngrams(texts[i:j]), i
         else:
-            for k in range(0, len(texts[i]), CHUNK):
+            for k in range(0, len(texts[i]), PIECE):
                 skip = min(k, ORDER - 1)
-                yield ngrams([texts[i][k - skip : k + CHUNK]])[0][skip:], np.zeros(1, np.int64), i
+                yield ngrams([texts[i][k - skip : k + PIECE]])[0][skip:], np.zeros(1, np.int64), i
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes; a longer text stands alone."""
+def chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
     i = size = 0
     for j, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+        if size and size + len(t) > most:
             yield i, j
             i, size = j, 0
         size += len(t)
@@ -119,6 +119,10 @@ def split(text: bytes) -> Iterator[list[bytes]]:
         i = j
 
 
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 START, END = b"", b" "  # no words
 
@@ -136,7 +140,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
         total = None
         for batch in batches:
-            b, target = common.encoded(batch.column("text").to_pylist()), batch.column("target").to_pylist()
+            b, target = _bytes(batch), batch.column("target").to_pylist()
             if total is None:
                 total = np.zeros((2, CELLS), dtype=np.int64)
             for k in (0, 1):
@@ -144,7 +148,7 @@ def counts(texts: DataFrame) -> DataFrame:
                 for cell, _, _ in cells_of(rows):
                     found, times = np.unique(cell, return_counts=True)
                     total[k, found] += times
-                for i, j in chunks(rows):
+                for i, j in chunks(rows, CHUNK):
                     words: Counter = Counter()
                     for piece in chain.from_iterable(map(split, rows[i:j])):
                         words.update(piece)
@@ -390,10 +394,10 @@ def scored(texts: DataFrame, model: Model, mu: float = MU) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, chunk = cells.value, TaskContext.get().partitionId() << 32
         for batch in batches:
-            b, ids, to = common.encoded(batch.column("text").to_pylist()), batch.column("doc_id").to_pylist(), batch.column("target").to_pylist()
+            b, ids, to = _bytes(batch), batch.column("doc_id").to_pylist(), batch.column("target").to_pylist()
             for kind in (False, True):
                 mine = [i for i, t in enumerate(to) if t == kind]
-                for i, j in chunks([b[x] for x in mine]):
+                for i, j in chunks([b[x] for x in mine], CHUNK):
                     rows, own = [b[x] for x in mine[i:j]], [ids[x] for x in mine[i:j]]
                     n, meta, asked = questions(rows, model.hot, parts)
                     size, sums = np.array([len(x) for x in rows], dtype=np.int64), np.zeros((2, len(rows)))
