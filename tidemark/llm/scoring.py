@@ -46,13 +46,13 @@ from tidemark.llm import common
 SYMBOLS, ORDER = 48, 4
 CELLS = SYMBOLS**ORDER
 #: Bytes of text whose words, and whose n-grams of bytes, are held at once.
-CHUNK, PIECE = 2 << 20, 1 << 20
+CHUNK, PIECE = 4 << 20, 1 << 20
 #: Words of prior mass after each word.
 MU = 50.0
 #: Words of over this share of the corpus are spread over parts by pair.
 HOT = 4_096
 #: Tokens of a part of the vocabulary, about.
-PART = 1 << 19
+PART = 1 << 20
 
 
 def _classes() -> np.ndarray:
