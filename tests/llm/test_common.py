@@ -44,3 +44,18 @@ def test_one_of_each(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, "a"), (None, "y"), (2, None)], key=str)
     assert common.fresh(edge.clashing(spark), "size", "new", "new") == ["size_", "new", "new_"]
     assert spark.createDataFrame([("é",), (None,)], "t string").select(common.octets(F.col("t"))).collect()[0][0] == 2
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    folder = edge.save(spark, edge.ROWS, tmp_path)
+    rows = common.table(spark, folder, "documents").collect()
+    out = common.texts(spark, folder, "documents")
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(map(str, out.collect())) == sorted(map(str, rows))
+    monkeypatch.setattr(common, "SPREAD", 1)
+    assert common.texts(spark, folder, "documents").rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism
+
+
+def test_broadcast_is_by_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "id long, t string")
+    plan = lambda n: df.select("id").join(common.small(df, 100, n), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(2_000) and "strategy=broadcast" not in plan(1_999)

@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 #: Bytes of its texts and binaries up to which a side may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of files a core below which a table is dealt out again.
+SPREAD = 8 << 20
 
 _local: dict[str, str] = {}
 _written: list[str] = []
@@ -104,6 +106,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worked on one by one: dealt out to all cores where it is a few small files, which may be one task otherwise."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD and df._jdf.rdd().getNumPartitions() < 2 * cores else df
+
+
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     return [b"" if x is None else x.encode() for x in texts]
 

@@ -130,7 +130,7 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = common.texts(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text"), model).alias("x"))
     return out.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"), F.col("x.margin").alias("margin"), F.col("x.rejected").alias("rejected"))

@@ -299,7 +299,7 @@ def as_wav(payload: Column, rate: int = 8_000) -> Column:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    docs = common.texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     n = F.octet_length("b").cast("long")
     pad = F.lit(192) * F.greatest(F.lit(1), F.ceil(n / 192)).cast("long") - n
     stored = docs.select("doc_id", n.alias("n_bytes"), as_wav(F.concat("b", F.repeat(F.lit(" "), pad.cast("int")).cast("binary"))).alias("media"))

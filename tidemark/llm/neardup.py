@@ -515,5 +515,5 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(common.texts(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

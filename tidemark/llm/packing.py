@@ -174,4 +174,4 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed(common.texts(spark, sf_dir, "documents").select("doc_id", "text"))

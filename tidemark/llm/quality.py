@@ -153,7 +153,7 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = common.texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
     judged = common.materialize(judge_documents(docs).drop("text"), "judged")
     m, f = F.col("measures"), F.col("fails")
     failed = f["short"] | f["repetitive"]

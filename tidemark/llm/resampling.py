@@ -141,4 +141,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = common.materialize(by, "labels")
     good = by.where("good = 1 and bad = 0").select(F.col("doc_id").alias("target_id"))
     share = by.agg(F.avg("good")).first()[0]
-    return resample(common.table(spark, sf_dir, "documents"), good, 1.0 if share is None else share)
+    return resample(common.texts(spark, sf_dir, "documents"), good, 1.0 if share is None else share)

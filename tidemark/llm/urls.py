@@ -270,4 +270,4 @@ def judge(urls: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) ->
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judge(common.texts(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
