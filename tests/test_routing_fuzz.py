@@ -61,3 +61,22 @@ def test_into_a_store(spark, tmp_path):
     query.awaitTermination()
     assert {r["event_id"]: r["route"] for r in store.read().collect()} == sequential(rows, 30, 50)
     assert len(store._manifest()["parts"]) < 4 and store._manifest()["streams"] == {str(tmp_path / "checkpoint"): 3}
+
+
+@pytest.mark.parametrize("span", [7, 100_000])
+def test_routing_into_a_store(spark, tmp_path, span):
+    """Micro-batches against the sequential router, with a restart, and a batch that runs a second time."""
+    rows, source = sorted(make(6), key=lambda r: r[5]), str(tmp_path / "in")
+    store, checkpoint = Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint")
+    want = {k: v for k, v in sequential(rows, 30, 50).items() if v != "dropped"}
+    for half in (rows[:200], rows[200:]):
+        for k in (0, 100):
+            spark.createDataFrame(half[k : k + 100], COLUMNS).coalesce(1).write.mode("append").parquet(source)
+        live = router.files_as_stream(spark, source, spark.read.parquet(source).schema, 1)
+        router.route_into(live, store, checkpoint, span, 30, 50, availableNow=True).awaitTermination()
+    assert {r["event_id"]: r["route"] for r in store.read().collect()} == want
+    (tmp_path / "checkpoint/query/commits/3").unlink()
+    (tmp_path / "checkpoint/query/commits/.3.crc").unlink(missing_ok=True)
+    live = router.files_as_stream(spark, source, spark.read.parquet(source).schema, 1)
+    router.route_into(live, store, checkpoint, span, 30, 50, availableNow=True).awaitTermination()
+    assert {r["event_id"]: r["route"] for r in store.read().collect()} == want and store.read().count() == len(want)

@@ -17,9 +17,20 @@ from tidemark.operators import prefix
 ROUTES = ("normal", "jitter", "late", "dropped")
 
 
-def running_max(stream: DataFrame, span: int) -> DataFrame:
-    """stream with max_pi: the largest primary_index of the key up to and with the record, by arrival."""
-    return prefix.running(stream, ["secondary_index"], ["arrival_seq"], span, {"max_pi": (F.col("primary_index"), F.max, prefix.largest)})
+def running_max(stream: DataFrame, span: int, tops: DataFrame | None = None) -> DataFrame:
+    """stream with max_pi: the largest primary_index of the key up to and with the record, by arrival. tops: (secondary_index, top), what keys had reached before."""
+    out = prefix.running(stream, ["secondary_index"], ["arrival_seq"], span, {"max_pi": (F.col("primary_index"), F.max, prefix.largest)})
+    if tops is None:
+        return out
+    (top,) = prefix.fresh(out, "top")
+    known = tops.select("secondary_index", F.col("top").alias(top))
+    return out.join(known, "secondary_index", "left").withColumn("max_pi", F.greatest("max_pi", top)).drop(top)
+
+
+def tops(stream: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(secondary_index, top): the largest primary_index that each key has reached in stream, and before."""
+    own = stream.select("secondary_index", F.col("primary_index").alias("top"))
+    return (own if before is None else own.unionByName(before)).groupBy("secondary_index").agg(F.max("top").alias("top"))
 
 
 def route_of(primary_index: Column, max_pi: Column, jitter: int = 0, floor: int | None = None) -> Column:
@@ -32,9 +43,9 @@ def route_of(primary_index: Column, max_pi: Column, jitter: int = 0, floor: int
     return out.otherwise("late")
 
 
-def route(stream: DataFrame, span: int, jitter: int = 0, floor: int | None = None) -> DataFrame:
-    """stream with max_pi and route."""
-    return running_max(stream, span).withColumn("route", route_of(F.col("primary_index"), F.col("max_pi"), jitter, floor))
+def route(stream: DataFrame, span: int, jitter: int = 0, floor: int | None = None, tops: DataFrame | None = None) -> DataFrame:
+    """stream with max_pi and route; tops: as in running_max."""
+    return running_max(stream, span, tops).withColumn("route", route_of(F.col("primary_index"), F.col("max_pi"), jitter, floor))
 
 
 def route_counts(routed: DataFrame) -> DataFrame:

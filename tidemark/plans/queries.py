@@ -152,6 +152,15 @@ def _stream_route(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{folder}/out").select("event_id", "secondary_index", "primary_index", "route")
 
 
+def _stream_store(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream that is routed into a store; it keeps no dropped records."""
+    folder = scratch.folder(s, "live")
+    live = as_stream(router.files_as_stream(s, f"{d}/events.parque[t]", read_events(s, d).schema, 1))
+    store = Store(s, f"{folder}/store")
+    router.route_into(live, store, f"{folder}/checkpoint", ARRIVAL_SPAN, JITTER, FLOOR, availableNow=True).awaitTermination()
+    return store.read().select("event_id", "secondary_index", "primary_index", "route", "route_rank")
+
+
 def _asof_join(s: SparkSession, d: str) -> DataFrame:
     """The index is stored first, as the join reads it twice."""
     path = scratch.folder(s, "index")
@@ -198,6 +207,7 @@ TABLE: dict[str, tuple[Q, str | None]] = {
     "running_max": (lambda s, d: routing.running_max(_src(s, d), ARRIVAL_SPAN).select("event_id", "max_pi"), "select event_id, max_pi from run"),
     "route_events": (lambda s, d: _routed(s, d).select("event_id", "secondary_index", "primary_index", "route"), "select event_id, secondary_index, primary_index, route from routed"),
     "stream_route_events": (_stream_route, "select event_id, secondary_index, primary_index, route from routed"),
+    "stream_route_into_store": (_stream_store, "select event_id, secondary_index, primary_index, route, route_rank from live"),
     "route_counts": (lambda s, d: routing.route_counts(_routed(s, d)), "select secondary_index, route, cast(count(*) as bigint) as c from routed group by secondary_index, route"),
     "route_dropped": (lambda s, d: _routed(s, d).where("route = 'dropped'").select("event_id", "secondary_index", "primary_index"), "select event_id, secondary_index, primary_index from routed where route = 'dropped'"),
     "late_arrivals": (lambda s, d: _late(s, d).select(*_RI, "version", "value"), "select secondary_index, primary_index, event_id, version, value from late"),

@@ -1,5 +1,8 @@
 """Routing of a live stream: each key's running maximum is state, kept between micro-batches.
 
+``route_stream`` keeps it in the state store, and has one worker for each key of a micro-batch; ``route_into`` keeps it in a table
+of one row a key and routes a micro-batch in two levels, so that a key with most of its records is many small groups.
+
 Within a micro-batch a key's records run in the order of arrival_seq; across micro-batches, in that of the batches.
 A watermark would not do: it is one for the whole query, and this is one for each key, that drops nothing.
 """
@@ -14,6 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators import routing
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,6 +79,32 @@ def into_store(routed: DataFrame, store, checkpoint: str, compact_every: int = 6
     return routed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
+def route_into(stream: DataFrame, store, checkpoint: str, span: int, jitter: int = 0, floor: int | None = None, compact_every: int = 64, **trigger):
+    """Starts a query that routes each micro-batch of a streaming frame and appends it to a store once, dropped records left out; returns the query.
+
+    What keys have reached after batch n is the table n in ``checkpoint``/tops: a batch that runs again reads the one before and
+    writes its own anew, so it gives the same routes.
+    """
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(checkpoint).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def add(df: DataFrame, n: int) -> None:
+        table = lambda k: f"{checkpoint}/tops/{k:012d}"
+        before = df.sparkSession.read.schema("secondary_index int, top long").parquet(table(n - 1)) if n and fs.exists(path(table(n - 1))) else None
+        df = df.persist()  # a lost block is read from the source again
+        try:
+            store.append(routing.live(routing.route(df, span, jitter, floor, before)), checkpoint, n)
+            routing.tops(df, before).write.mode("overwrite").parquet(table(n))
+        finally:
+            df.unpersist()
+        fs.delete(path(table(n - 2)), True)
+        if n % compact_every == compact_every - 1:
+            store.compact()
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+
+
 def files_as_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream; path: a folder or a pattern. files_per_batch bounds a micro-batch."""
     stream = spark.readStream.schema(schema)
