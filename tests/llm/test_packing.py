@@ -25,7 +25,11 @@ def test_encoder_equals_the_library():
     some = ["a", "b", "Ab", "é", "Œ", " ", " ", " ", "\n", "\t", "1", ".", "'s", "'", "\xa0", "　", "<|endoftext|>", "\x1c", "\u0085", "中", "ß", "!"]
     for text in ["", " ", "  ", "a  ", " a", "don't we'll"] + ["".join(r.choice(some) for _ in range(r.randint(1, 16))) for _ in range(8000)]:
         assert encoder.encode(text) == ids(text), repr(text)
-    encoder.units.most = encoder.pieces.most = 3
+    western = [*"abXé10.,!?'\"-#& \n\t\r", "  ", " \n", "'ll", "'s", "'S", "don't", "ÿ", "x'", "<|endoftext|>"]
+    for _ in range(20_000):
+        text = "".join(r.choice(western) for _ in range(r.randint(1, 14)))
+        assert encoder.encode(text) == ids(text), repr(text)
+    encoder.units.most = encoder.pieces.most = encoder.cut.most = 3
     for text in ["a b c d e f g a b c d e f g", "é è à é è à ü"] * 2:
         assert encoder.encode(text) == ids(text)
 
