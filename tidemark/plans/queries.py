@@ -82,6 +82,42 @@ def _retention(s: SparkSession, d: str) -> DataFrame:
     return store.read().select(*_RI)
 
 
+def _batches(s: SparkSession, d: str) -> tuple[Store, list[tuple[int, int]]]:
+    """Three numbered batches of a stream, the second of them sent twice, and how many records a read saw after each append."""
+    store, seen = Store(s, scratch.folder(s, "batches")), []
+    for step, n in enumerate((0, 1, 1, 2)):
+        store.append(_src(s, d).where(F.col("event_id") % 3 == n), "events", n)
+        seen.append((step, store.read().count()))
+    return store, seen
+
+
+def _zones(s: SparkSession, d: str) -> DataFrame:
+    """The parts that a lookup opens, of three with ranges of their own."""
+    store, live = Store(s, scratch.folder(s, "zones")), _live(s, d)
+    for part in range(3):
+        store.append(live.where(F.when(F.col("primary_index") < 473_600, 0).when(F.col("primary_index") < 473_800, 1).otherwise(2) == part))
+    return store.zones(473_620, 473_650)
+
+
+def _closed(s: SparkSession, d: str) -> DataFrame:
+    """What a store says before it is closed, after, and when it is opened anew."""
+    base = scratch.folder(s, "closed")
+    with Store(s, base) as store:
+        store.append(_src(s, d))
+        before = store.read().count()
+    store.close()
+
+    def refused(call: Callable[[], object]) -> bool:
+        try:
+            call()
+        except RuntimeError:
+            return True
+        return False
+
+    row = (before, refused(store.read), refused(lambda: store.append(_src(s, d))), Store(s, base).read().count())
+    return s.createDataFrame([row], "rows_before long, read_refused boolean, append_refused boolean, rows_anew long")
+
+
 def _pooled(s: SparkSession, d: str) -> DataFrame:
     rows: list = []
 
@@ -204,6 +240,16 @@ Q = Callable[[SparkSession, str], DataFrame]
 #: Name: the query, and its SQL after the common table expressions (None: SQL can't say it).
 TABLE: dict[str, tuple[Q, str | None]] = {
     "append_roundtrip": (_append_roundtrip, "select event_id, secondary_index, primary_index, version, value from src"),
+    "append_batches": (lambda s, d: _batches(s, d)[0].read().select("event_id", "secondary_index", "primary_index"), "select event_id, secondary_index, primary_index from src"),
+    "write_barrier": (
+        lambda s, d: s.createDataFrame(_batches(s, d)[1], "step int, visible long"),
+        "select cast(t.step as int) as step, cast(count(*) as bigint) as visible from (select 0 as step, 0 as n union all select 1, 1 union all select 2, 1 union all select 3, 2) t join src on event_id % 3 <= t.n group by t.step",
+    ),
+    "zone_lookup": (
+        _zones,
+        "select min(primary_index) as least, max(primary_index) as largest, cast(count(*) as bigint) as rows from live group by case when primary_index < 473600 then 0 when primary_index < 473800 then 1 else 2 end having max(primary_index) >= 473620 and min(primary_index) <= 473650",
+    ),
+    "store_closed": (_closed, "select cast(count(*) as bigint) as rows_before, true as read_refused, true as append_refused, cast(count(*) as bigint) as rows_anew from src"),
     "running_max": (lambda s, d: routing.running_max(_src(s, d), ARRIVAL_SPAN).select("event_id", "max_pi"), "select event_id, max_pi from run"),
     "route_events": (lambda s, d: _routed(s, d).select("event_id", "secondary_index", "primary_index", "route"), "select event_id, secondary_index, primary_index, route from routed"),
     "stream_route_events": (_stream_route, "select event_id, secondary_index, primary_index, route from routed"),

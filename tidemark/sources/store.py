@@ -119,14 +119,25 @@ class Store:
             raise ValueError("nothing was ever written")
         return StructType.fromJson(manifest["schema"])
 
+    @staticmethod
+    def _within(manifest: dict, start: int | None, end: int | None) -> list[Part]:
+        """Parts that can hold records of the range, by their bounds."""
+        parts = [Part(**p) for p in manifest["parts"]]
+        if start is None and end is None:
+            return parts
+        return [p for p in parts if p.least is not None and (start is None or p.largest >= start) and (end is None or p.least <= end)]
+
+    def zones(self, start: int | None = None, end: int | None = None) -> DataFrame:
+        """(least, largest, rows) of each part that a read of the range opens."""
+        self._open()
+        return self.spark.createDataFrame([(p.least, p.largest, p.rows) for p in self._within(self._manifest(), start, end)], "least long, largest long, rows long")
+
     def read(self, keys: int | Iterable[int] | DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
         """All records, or those of some keys, from start to end; parts and shards that lie outside aren't opened."""
         self._open()
         manifest = self._manifest()
         schema = self._schema(manifest)
-        outside = lambda p: p["least"] is None or (start is not None and p["largest"] < start) or (end is not None and p["least"] > end)
-        bounded = start is not None or end is not None
-        df = self._files(schema, [p["path"] for p in manifest["parts"] if not (bounded and outside(p))])
+        df = self._files(schema, [p.path for p in self._within(manifest, start, end)])
         if keys is not None:
             keys = [keys] if isinstance(keys, int) else keys if isinstance(keys, DataFrame) else sorted(set(keys))
             if not isinstance(keys, DataFrame):
