@@ -91,6 +91,18 @@ def test_trees_learn_from_domains_of_both_labels_only(spark, monkeypatch):
     assert set(seen[0][:, host_length]) == {len("h.both.org")} and 30 < len(seen[0]) <= 50
 
 
+def test_copies_of_one_url_do_not_fill_the_sample(spark, monkeypatch):
+    """Copies are half of all rows; the sample holds one of them at most, and as many URLs as are asked for."""
+    rows = [("http://h.both.org/hot", 1)] * 400 + [(f"http://h.both.org/{k}", k % 2) for k in range(400)]
+    seen, fit = [], urls.Trees.fit
+    monkeypatch.setattr(urls.Trees, "fit", lambda self, x, y: seen.append(x) or fit(self, x, y))
+    for n in (100, 1000):
+        urls.learn(spark.createDataFrame(rows, "url string, label int"), sample_rows=n)
+    length = urls.LEXICAL.index("length")
+    assert 70 < len(seen[0]) <= 100 and len(seen[1]) == 401
+    assert all(sum(x[:, length] == len("http://h.both.org/hot")) <= 301 for x in seen)
+
+
 def plain_features(u, pages):
     """The features of a URL by their definitions, in plain Python; pages: all URLs."""
     text = u or ""

@@ -8,8 +8,8 @@ block whole suffixes of which a few paths are labelled. For the same reason the
 labels of both kinds, found exactly (from all, if there are none): one with a single label says nothing about its URLs' words. Both
 labels weigh the same in all.
 
-Learning reads a bounded sample: of the labelled URLs of these domains SAMPLE_ROWS at most are drawn by hash, and their features
-come to the driver. Suffix statistics cover all rows and are exact for the FREQUENT most frequent suffixes of each kind; each
+Learning reads a bounded sample: of the distinct labelled URLs of these domains SAMPLE_ROWS at most are drawn by hash, so
+that copies of one can't fill the sample, and their features come to the driver. Suffix statistics cover all rows and are exact for the FREQUENT most frequent suffixes of each kind; each
 other suffix counts as the mean of those in its hashed bucket, of BUCKETS. So the model has a fixed size.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and no rule; without labels of both kinds
@@ -32,7 +32,7 @@ from tidemark.llm import common
 
 Rule = tuple[str, str, str]  # verdict, host, path
 RULES: tuple[Rule, ...] = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Labelled URLs that the trees are fit on, at most.
+#: Distinct labelled URLs that the trees are fit on, at most.
 SAMPLE_ROWS = 20_000
 #: Suffixes of each kind with statistics of their own, and buckets of the others.
 FREQUENT, BUCKETS = 4_096, 1_024
@@ -232,9 +232,9 @@ def learn(urls: DataFrame, url: str = "url", label: str = "label", sample_rows:
     mixed = common.materialize(u.groupBy("domain").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("domain"), "mixed")
     if not mixed.isEmpty():
         u = u.join(common.small(mixed), "domain", "left_semi")
-    labelled = u.count()
+    labelled = u.select(F.xxhash64("url").alias("place"), "label").distinct().count()
     place = F.xxhash64("url").cast("double") / F.lit(2.0**64) + 0.5
-    drawn = u.select("url", "label", place.alias("place")).where(F.col("place") < min(1.0, 1.1 * sample_rows / labelled))
+    drawn = u.select("url", "label", place.alias("place")).where(F.col("place") < min(1.0, 1.1 * sample_rows / labelled)).distinct()
     rows = drawn.select("place", "label", feature_vector(F.col("url"), model).alias("x")).orderBy("place", "label", "x").limit(sample_rows).collect()
     if rows:
         model.trees = Trees().fit(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]))
