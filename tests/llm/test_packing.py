@@ -29,6 +29,10 @@ def test_encoder_equals_the_library():
     for _ in range(20_000):
         text = "".join(r.choice(western) for _ in range(r.randint(1, 14)))
         assert encoder.encode(text) == ids(text), repr(text)
+    long = ["中文" * 5_000, "é" * 9_000 + " Œ" + "x" * 9_000, "a" * 9_000 + "." * 9_000, "Œ" * 300]
+    for text in long:
+        assert encoder.encode(text) == ids(text)
+    assert max(map(len, [*encoder.units, *encoder.pieces, *encoder.cut])) <= packing.LONGEST  # what is remembered is bounded in bytes
     encoder.units.most = encoder.pieces.most = encoder.cut.most = 3
     for text in ["a b c d e f g a b c d e f g", "é è à é è à ü"] * 2:
         assert encoder.encode(text) == ids(text)

@@ -28,20 +28,23 @@ from tidemark.llm import common
 
 LENGTH = 2048
 END = 1
-#: Units of text, and parts of them, whose ids a Python worker remembers in each of two generations, at about 200 bytes each.
-CACHE = 300_000
+#: Units of text, and parts of them, whose ids a Python worker remembers in each of two generations, and characters of such: at about 200 bytes each.
+CACHE, LONGEST = 300_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 
 class _Cache(dict):
-    """Remembers what make gives. When it holds most entries they become the old generation, from which those
-    still in use come back; entries that nothing asked for meanwhile are forgotten with the generation before."""
+    """Remembers what make gives, but for keys of over LONGEST characters: texts without spaces would fill it with whole paragraphs.
+    When it holds most entries they become the old generation, from which those still in use come back; entries that
+    nothing asked for meanwhile are forgotten with the generation before."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.make(key)
         ids = self.old.get(key)
         if ids is None:
             ids = self.make(key)
