@@ -24,6 +24,12 @@ def test_weights_by_definition(spark, tmp_path):
     assert sum(r["kept"] for r in got.values()) == 2
 
 
+def test_long_words_are_not_remembered():
+    hashes = resampling._Hashes()
+    b = resampling.buckets(b"x" * 100_000 + b" word " + b"x" * 100_000, hashes)
+    assert list(hashes) == [b"word"] and b[0] == b[2] == (xxhash.xxh64_intdigest(b"x" * 100_000, 42) & (1 << 63) - 1) % 10_000
+
+
 def test_kth_largest(spark):
     r = random.Random(1)
     for values in ([5], [r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)], [r.randint(-3, 3) for _ in range(100)], [-(1 << 63), (1 << 63) - 1, 0, -1]):

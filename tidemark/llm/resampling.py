@@ -28,17 +28,19 @@ from tidemark.llm import common
 
 BUCKETS = 10_000
 SEED = 42
-#: Words whose hashes a Python worker remembers.
-CACHE = 200_000
+#: Words whose hashes a Python worker remembers, and bytes of such.
+CACHE, LONGEST = 200_000, 64
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED) & 0x7FFFFFFFFFFFFFFF
+        h = xxhash.xxh64_intdigest(word, SEED) & 0x7FFFFFFFFFFFFFFF
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
         return h
 
 
