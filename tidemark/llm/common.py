@@ -107,10 +107,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are worked on one by one: dealt out to all cores where it is a few small files, which may be one task otherwise."""
+    """A table whose rows are worked on one by one: dealt out to all cores where it is a few small files, which may be one task otherwise.
+
+    Rows of a task are in the same order whenever it runs; what is dealt out is sorted for that.
+    """
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPREAD and df._jdf.rdd().getNumPartitions() < 2 * cores else df
+    if size >= cores * SPREAD or df._jdf.rdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores).sortWithinPartitions(F.xxhash64(*df.columns))
 
 
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
