@@ -51,6 +51,12 @@ def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
     rows = common.table(spark, folder, "documents").collect()
     out = common.texts(spark, folder, "documents")
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(map(str, out.collect())) == sorted(map(str, rows))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    steady = common.texts(spark, folder, "documents", ("doc_id", "text"))
+    assert "Sort" in plan(steady) and sorted(map(str, steady.collect())) == sorted(str(r) for r in common.table(spark, folder, "documents").select("doc_id", "text").collect())
+    for narrow in (steady, out.select("doc_id", "text")):  # columns that aren't asked for are neither read nor dealt out
+        read = narrow._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+        assert read.startswith("struct<doc_id") and "text:string>" in read and "source" not in read.split("\n")[0]
     monkeypatch.setattr(common, "SPREAD", 1)
     assert common.texts(spark, folder, "documents").rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism
 

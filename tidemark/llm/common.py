@@ -106,16 +106,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, name: str, steady: tuple[str, ...] = ()) -> DataFrame:
     """A table whose rows are worked on one by one: dealt out to all cores where it is a few small files, which may be one task otherwise.
 
-    Rows of a task are in the same order whenever it runs; what is dealt out is sorted for that.
+    steady: the columns that are read, if rows of a task must be in the same order whenever it runs; what is dealt out is sorted by these.
     """
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * SPREAD or df._jdf.rdd().getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores).sortWithinPartitions(F.xxhash64(*df.columns))
+    dealt = size < cores * SPREAD and df._jdf.rdd().getNumPartitions() < 2 * cores
+    if steady:
+        df = df.select(*steady)
+        return df.repartition(cores).sortWithinPartitions(F.xxhash64(*steady)) if dealt else df
+    return df.repartition(cores) if dealt else df
 
 
 def encoded(texts: Iterable[str | None]) -> list[bytes]:

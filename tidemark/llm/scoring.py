@@ -454,5 +454,5 @@ def flagged(docs: DataFrame, ids: DataFrame, text: str = "text", doc_id: str = "
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = flagged(common.texts(spark, sf_dir, "documents"), target_ids(common.table(spark, sf_dir, "labels")))
+    texts = flagged(common.texts(spark, sf_dir, "documents", ("doc_id", "text")), target_ids(common.table(spark, sf_dir, "labels")))
     return scored(texts, learn(texts))
