@@ -157,6 +157,17 @@ def test_kv_keys_must_ascend(spark):
         assert kv.out_of_order(puts(1, 5, 3, 5, 6), "at", span).first()[0] == 2
 
 
+def test_kv_puts_that_tie_run_by_key(spark):
+    """Whatever the order of rows and parts, the count is that of ascending keys."""
+    rows = [(at, k, 7) for k in range(40, 0, -1) for at in (k % 3,)]
+    for data in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        puts = spark.createDataFrame(data, "at long, k long, v long")
+        for span in (1, 100):
+            assert kv.out_of_order(puts.coalesce(1), "at", span).first()[0] == kv.out_of_order(puts.repartition(5), "at", span).first()[0] == 26
+    same = spark.createDataFrame([(0, 6, 7), (0, 5, 7), (0, 4, 7)], "at long, k long, v long")
+    assert [r["k"] for r in kv.put(pairs(spark, [1]), same, "at").orderBy("k").collect()] == [1, 4, 5, 6]
+
+
 def test_kv_order(spark):
     t = kv.delete(pairs(spark, [30, 10, 20, 40]), spark.createDataFrame([(20,)], "k long"))
     assert [r["k"] for r in kv.scan(t, 10, 40).collect()] == [10, 30, 40]

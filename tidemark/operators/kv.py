@@ -1,7 +1,8 @@
 """An ordered key-value surface over frames of (k, v, deleted).
 
 Edge cases: a null key can't be put, and is found by no read; a null ``deleted`` counts as false; keys that were put before
-the guard and repeat are returned each; empty frames give empty results; other columns of the table are carried along where puts have them too.
+the guard and repeat are returned each; puts that tie in their order arrive in the order of their keys, so that reruns agree; empty frames give empty results;
+other columns of the table are carried along where puts have them too.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ SPAN = 65_536
 
 
 def _seen(puts: DataFrame, order: str, span: int, name: str) -> DataFrame:
-    """puts with the largest key before each, in the order of ``order``."""
-    return prefix.running(puts, [], [order], span, {name: (F.col("k"), F.max, prefix.largest)}, inclusive=False)
+    """puts with the largest key before each, in the order of ``order``, then of keys."""
+    return prefix.running(puts, [], [order, "k"], span, {name: (F.col("k"), F.max, prefix.largest)}, inclusive=False)
 
 
 def out_of_order(puts: DataFrame, order: str, span: int = SPAN) -> DataFrame:
