@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tests import parity
 from tidemark.operators import routing
+from tidemark.plans.queries import oracle_sql, queries
 from tidemark.sources.store import Store
 from tidemark.streaming import router
 
@@ -80,3 +83,44 @@ def test_routing_into_a_store(spark, tmp_path, span):
     live = router.files_as_stream(spark, source, spark.read.parquet(source).schema, 1)
     router.route_into(live, store, checkpoint, span, 30, 50, availableNow=True).awaitTermination()
     assert {r["event_id"]: r["route"] for r in store.read().collect()} == want and store.read().count() == len(want)
+
+
+@pytest.mark.parametrize("span", [7, 100_000])
+def test_routing_into_files(spark, tmp_path, span):
+    """All routes, dropped ones too, with a restart, and a batch that runs a second time; no state by key that Python keeps."""
+    rows = sorted([*make(7), (1000, 1, None, 1, 0.5, 5000), (1001, 9, None, 1, 0.5, 5001)], key=lambda r: r[5])
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    want = sequential([r for r in rows if r[2] is not None], 30, 50) | {1000: "late", 1001: "late"}
+
+    def run():
+        live = router.files_as_stream(spark, source, spark.read.parquet(source).schema, 1)
+        query = router.route_into_files(live, out, checkpoint, span, 30, 50, availableNow=True)
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+        return router.read_routed(spark, out, live.schema)
+
+    for half in (rows[:200], rows[200:]):
+        for k in (0, 100, 200):
+            spark.createDataFrame(half[k : k + 100], COLUMNS).coalesce(1).write.mode("append").parquet(source)
+        got = run()
+    assert {r["event_id"]: r["route"] for r in got.collect()} == want and got.count() == len(want)
+    assert set(want.values()) == {"normal", "jitter", "late", "dropped"}
+    (tmp_path / "checkpoint/query/commits/5").unlink()
+    (tmp_path / "checkpoint/query/commits/.5.crc").unlink(missing_ok=True)
+    got = run()
+    assert {r["event_id"]: r["route"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_a_stream_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    live = router.files_as_stream(spark, str(tmp_path / "in"), COLUMNS)
+    router.route_into_files(live, str(tmp_path / "out"), str(tmp_path / "checkpoint"), 7, 30, 50, availableNow=True).awaitTermination()
+    assert router.read_routed(spark, str(tmp_path / "out"), live.schema).count() == 0
+
+
+def test_the_stream_query_routes_events_without_a_time(spark, tmp_path):
+    events = spark.read.parquet(f"{parity.SF}/events.parquet")
+    odd = events.withColumn("ts", F.when(F.col("event_id") % 50 != 7, F.col("ts")))
+    odd.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    df = queries()["stream_route_events"](spark, str(tmp_path))
+    assert parity.same(df, oracle_sql()["stream_route_events"], views={"events": str(tmp_path / "events.parquet/*.parquet")}) == events.count()

@@ -181,11 +181,11 @@ def _payload_guard(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_route(s: SparkSession, d: str) -> DataFrame:
-    events = read_events(s, d)
+    """The events as a stream that is routed into files, with its dropped records."""
     folder = scratch.folder(s, "stream")
-    live = as_stream(router.files_as_stream(s, f"{d}/events.parque[t]", events.schema))
-    router.run_into(router.route_stream(live, JITTER, FLOOR), f"{folder}/out", f"{folder}/checkpoint")
-    return s.read.parquet(f"{folder}/out").select("event_id", "secondary_index", "primary_index", "route")
+    live = as_stream(router.files_as_stream(s, f"{d}/events.parque[t]", read_events(s, d).schema))
+    router.route_into_files(live, f"{folder}/out", f"{folder}/checkpoint", ARRIVAL_SPAN, JITTER, FLOOR, availableNow=True).awaitTermination()
+    return router.read_routed(s, f"{folder}/out", live.schema).select("event_id", "secondary_index", "primary_index", "route")
 
 
 def _stream_store(s: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Routing of a live stream: each key's running maximum is state, kept between micro-batches.
 
-``route_stream`` keeps it in the state store, and has one worker for each key of a micro-batch; ``route_into`` keeps it in a table
-of one row a key and routes a micro-batch in two levels, so that a key with most of its records is many small groups.
+``route_stream`` keeps it in the state store, and has one worker for each key of a micro-batch; ``route_into`` and ``route_into_files`` keep it in a table
+of one row a key and route a micro-batch in two levels, so that a key with most of its records is many small groups, and many keys are no calls of Python.
 
 Within a micro-batch a key's records run in the order of arrival_seq; across micro-batches, in that of the batches.
 A watermark would not do: it is one for the whole query, and this is one for each key, that drops nothing.
@@ -10,12 +10,13 @@ A watermark would not do: it is one for the whole query, and this is one for eac
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.operators import routing
 
@@ -79,8 +80,8 @@ def into_store(routed: DataFrame, store, checkpoint: str, compact_every: int = 6
     return routed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
-def route_into(stream: DataFrame, store, checkpoint: str, span: int, jitter: int = 0, floor: int | None = None, compact_every: int = 64, **trigger):
-    """Starts a query that routes each micro-batch of a streaming frame and appends it to a store once, dropped records left out; returns the query.
+def _in_two_levels(stream: DataFrame, checkpoint: str, span: int, jitter: int, floor: int | None, keep: Callable[[DataFrame, int], None], trigger: dict):
+    """Starts a query that routes each micro-batch of a streaming frame and hands it to ``keep`` with its number; returns the query.
 
     What keys have reached after batch n is the table n in ``checkpoint``/tops: a batch that runs again reads the one before and
     writes its own anew, so it gives the same routes.
@@ -94,15 +95,45 @@ def route_into(stream: DataFrame, store, checkpoint: str, span: int, jitter: int
         before = df.sparkSession.read.schema("secondary_index int, top long").parquet(table(n - 1)) if n and fs.exists(path(table(n - 1))) else None
         df = df.persist()  # a lost block is read from the source again
         try:
-            store.append(routing.live(routing.route(df, span, jitter, floor, before)), checkpoint, n)
+            keep(routing.route(df, span, jitter, floor, before), n)
             routing.tops(df, before).write.mode("overwrite").parquet(table(n))
         finally:
             df.unpersist()
         fs.delete(path(table(n - 2)), True)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+
+
+def route_into(stream: DataFrame, store, checkpoint: str, span: int, jitter: int = 0, floor: int | None = None, compact_every: int = 64, **trigger):
+    """Starts a query that routes each micro-batch of a streaming frame and appends it to a store once, dropped records left out; returns the query."""
+
+    def keep(routed: DataFrame, n: int) -> None:
+        store.append(routing.live(routed), checkpoint, n)
         if n % compact_every == compact_every - 1:
             store.compact()
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+    return _in_two_levels(stream, checkpoint, span, jitter, floor, keep, trigger)
+
+
+def route_into_files(stream: DataFrame, folder: str, checkpoint: str, span: int, jitter: int = 0, floor: int | None = None, **trigger):
+    """Starts a query that routes each micro-batch of a streaming frame and writes it to parquet files once, dropped records too; returns the query.
+
+    Each batch has a folder by its number, which a batch that runs again writes anew; ``read_routed`` reads all of them.
+    """
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)  # a stream without a batch reads as empty
+
+    def keep(routed: DataFrame, n: int) -> None:
+        routed.write.mode("overwrite").parquet(f"{folder}/{n:012d}")
+
+    return _in_two_levels(stream, checkpoint, span, jitter, floor, keep, trigger)
+
+
+def read_routed(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The records that ``route_into_files`` has written, with max_pi and route. schema: of the stream."""
+    whole = StructType([*[f for f in schema if f.name not in ("max_pi", "route")], StructField("max_pi", LongType()), StructField("route", StringType())])
+    return spark.read.schema(whole).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def files_as_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
