@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +123,13 @@ def texts(spark: SparkSession, sf_dir: str, name: str, steady: tuple[str, ...] =
     return df.repartition(cores) if dealt else df
 
 
+def give_back() -> None:
+    """Returns what has been freed to the system. A worker lives on after its task, and else holds the most that it ever needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     return [b"" if x is None else x.encode() for x in texts]
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 import re
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -47,6 +47,8 @@ SYMBOLS, ORDER = 48, 4
 CELLS = SYMBOLS**ORDER
 #: Bytes of text whose words, and whose n-grams of bytes, are held at once.
 CHUNK, PIECE = 4 << 20, 1 << 20
+#: Bytes of text whose n-grams a task sums up in cells of 32 bits.
+MOST = (1 << 32) - 1
 #: Words of prior mass after each word.
 MU = 50.0
 #: Words of over this share of the corpus are spread over parts by pair.
@@ -88,7 +90,7 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def cells_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """What ngrams gives, for pieces of about PIECE bytes, and the number of the text with which a piece begins."""
-    for i, j in chunks(texts, PIECE):
+    for i, j in chunks(map(len, texts), PIECE):
         if j > i + 1 or len(texts[i]) <= PIECE:
             yield *ngrams(texts[i:j]), i
         else:
@@ -97,16 +99,28 @@ def cells_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
                 yield ngrams([texts[i][k - skip : k + PIECE]])[0][skip:], np.zeros(1, np.int64), i
 
 
-def chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
-    i = size = 0
-    for j, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield i, j
-            i, size = j, 0
-        size += len(t)
-    if i < len(texts):
-        yield i, len(texts)
+def chunks(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes, each of about ``most`` bytes; a longer text stands alone."""
+    i = j = size = 0
+    for j, n in enumerate(sizes, start=1):
+        if size and size + n > most:
+            yield i, j - 1
+            i, size = j - 1, 0
+        size += n
+    if i < j:
+        yield i, j
+
+
+def sides(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Rows by chunks of about CHUNK bytes of texts, all of the target (True) or none. One chunk is copied out of its batch at a time."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        for kind in (False, True):
+            mine = np.flatnonzero(target == kind)
+            for i, j in chunks(size[mine].tolist(), CHUNK):
+                yield kind, batch.take(pa.array(mine[i:j]))
+                common.give_back()
 
 
 def split(text: bytes) -> Iterator[list[bytes]]:
@@ -127,41 +141,49 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 START, END = b"", b" "  # no words
 
 
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What counts sums up, of a task's texts."""
+    from xxhash import xxh64_intdigest
+
+    def out(kind, key, sums):
+        fields = [pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(sums[0]), pa.array(sums[1])]
+        yield from pa.Table.from_arrays(fields, names=["kind", "key", "background", "target"]).to_batches(max_chunksize=100_000)
+
+    def cells():
+        found = np.flatnonzero(total.any(axis=0))
+        yield from out(0, found, total[:, found].astype(np.int64))
+
+    total, held = None, 0
+    for k, chunk in sides(batches):
+        rows = _bytes(chunk)
+        size = sum(map(len, rows))
+        if total is None or held + size > MOST:
+            if held:
+                yield from cells()
+            total, held = np.zeros((2, CELLS), dtype=np.uint32), 0
+        held += size
+        for cell, _, _ in cells_of(rows):
+            found, times = np.unique(cell, return_counts=True)
+            total[int(k), found] += times.astype(np.uint32)
+        words: Counter = Counter()
+        for piece in chain.from_iterable(map(split, rows)):
+            words.update(piece)
+        if words:
+            words[END] = sum(1 for x in rows if x.strip())
+            sums = np.zeros((2, len(words)), dtype=np.int64)
+            sums[int(k)] = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            yield from out(1, np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64), sums)
+        del rows, words
+    if held:
+        yield from cells()
+    del total
+    common.give_back()
+
+
 def counts(texts: DataFrame) -> DataFrame:
     """texts: (text, target boolean). (kind, key, background, target), materialized: of kind 0 the n-grams of bytes by cell, of kind 1 the words
     by hash, each with its counts over texts that aren't the target's and over those that are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        def out(kind, key, sums):
-            fields = [pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(sums[0]), pa.array(sums[1])]
-            yield from pa.Table.from_arrays(fields, names=["kind", "key", "background", "target"]).to_batches(max_chunksize=100_000)
-
-        total = None
-        for batch in batches:
-            b, target = _bytes(batch), batch.column("target").to_pylist()
-            if total is None:
-                total = np.zeros((2, CELLS), dtype=np.int64)
-            for k in (0, 1):
-                rows = [x for x, t in zip(b, target, strict=True) if t == bool(k)]
-                for cell, _, _ in cells_of(rows):
-                    found, times = np.unique(cell, return_counts=True)
-                    total[k, found] += times
-                for i, j in chunks(rows, CHUNK):
-                    words: Counter = Counter()
-                    for piece in chain.from_iterable(map(split, rows[i:j])):
-                        words.update(piece)
-                    if words:
-                        words[END] = sum(1 for x in rows[i:j] if x.strip())
-                        sums = np.zeros((2, len(words)), dtype=np.int64)
-                        sums[k] = np.fromiter(words.values(), dtype=np.int64, count=len(words))
-                        yield from out(1, np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64), sums)
-        if total is not None:
-            found = np.flatnonzero(total.any(axis=0))
-            yield from out(0, found, total[:, found])
-
-    made = texts.mapInArrow(run, "kind byte, key long, background long, target long")
+    made = texts.mapInArrow(counted, "kind byte, key long, background long, target long")
     return common.materialize(made.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts")
 
 
@@ -294,31 +316,48 @@ def questions(texts: list[bytes], hot: np.ndarray, parts: int) -> tuple[np.ndarr
                 yield from (ids.setdefault(w, len(ids)) for w in piece)
             n.append(k)
 
-    word = np.fromiter(stream(), dtype=np.int64)
+    # Numbers of words and texts and counts in one chunk fit 32 bits, as its bytes do.
+    word = np.fromiter(stream(), dtype=np.int32)
     n = np.array(n, dtype=np.int64)
     some = n > 0
     word = np.insert(word, np.cumsum(n)[some], 1)
     size = n + some
-    before = np.concatenate([[0], word[:-1]])[: len(word)]
-    before[(np.cumsum(size) - size)[some]] = 0
     wide, high = len(ids), max(1, len(texts))
-    key, times = np.unique((word * wide + before) * high + np.repeat(np.arange(len(n)), size), return_counts=True)
-    text, before, word = key % high, key // high % wide, key // high // wide
-    own = np.unique(word * high + text, return_inverse=True)[1]
-    own = np.bincount(own, weights=times)[own].astype(np.int64)
+    key = word * np.int64(wide)
+    key[1:] += word[:-1]
+    first = (np.cumsum(size) - size)[some]
+    key[first] = word[first] * np.int64(wide)
+    key *= high
+    key += np.repeat(np.arange(len(n), dtype=np.int32), size)
+    del word
+    key.sort()
+    at = _runs(key)
+    key, times = key[at], np.diff(at, append=len(key)).astype(np.int32)
+    text = (key % high).astype(np.int32)
+    key //= high
+    before, word = (key % wide).astype(np.int32), (key // wide).astype(np.int32)
+    del key, at
+    own = np.unique(word * np.int64(high) + text, return_inverse=True)[1].astype(np.int32)
+    own = np.bincount(own, weights=times)[own].astype(np.int32)
     hashes = _hash(ids)
-    pair = hashes[before] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[word]
-    pair = (pair ^ pair >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    ids.clear()
+    pair = hashes[before]
+    pair *= np.uint64(0x9E3779B97F4A7C15)
+    pair ^= hashes[word]
+    pair ^= pair >> np.uint64(31)
+    pair *= np.uint64(0xBF58476D1CE4E5B9)
     pair ^= pair >> np.uint64(29)
     part = (np.where(np.isin(hashes, hot)[word], pair, hashes[word]) >> np.uint64(16)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    text, before, word, times, own, pair, part = (x[order] for x in (text, before, word, times, own, pair, part))
+    part = part.astype(np.int32)
+    order = np.argsort(part, kind="stable").astype(np.int32)
+    text, before, word, times, own, pair, part = text[order], before[order], word[order], times[order], own[order], pair[order], part[order]
+    del order
     pairs, words = _runs(part, word, before), _runs(part, word)
     pair_n, word_pairs = np.diff([*pairs, len(word)]), np.diff([*np.searchsorted(pairs, words), len(pairs)])
     meta = _dump((text & 255).astype(np.uint8), (text >> 8).astype(np.uint8), *_narrow(times), *_narrow(own), *_narrow(pair_n), *_narrow(word_pairs), (word[words] == 1).astype(np.uint8))
 
     def rows():
-        asked = _sums(times, pair_n)
+        asked = _sums(times.astype(np.int64), pair_n)
         first = np.append(_runs(part), len(part)) if len(part) else np.zeros(1, np.int64)
         for a, b in zip(first, first[1:], strict=False):
             p, q = np.searchsorted(pairs, [a, b])
@@ -341,20 +380,27 @@ def answers(asked: list[bytes], target: np.ndarray, hot: np.ndarray, hot_counts:
     hot, hot_counts = hot[order], hot_counts[:, order]
     times = np.concatenate([_wide(r[4], r[5]) for r in rows])
     n_pairs, n_words = np.array([len(r[4]) for r in rows]), np.array([len(r[1]) for r in rows])
+    del rows
     known, word = np.unique(words, return_inverse=True)
-    of = np.repeat(np.arange(len(words)), word_pairs)
-    key, pair = np.unique(low | word[of].astype(np.uint64) << np.uint64(40), return_inverse=True)
+    of = np.repeat(word, word_pairs)
+    low |= of.astype(np.uint64) << np.uint64(40)
+    key, pair = np.unique(low, return_inverse=True)
+    n = len(key)
+    del low, key
     to = np.repeat(target, n_pairs)
-    two = [np.bincount(pair, weights=times * (to == k), minlength=len(key)).astype(np.int64)[pair] for k in (False, True)]
-    one = [np.bincount(word[of], weights=times * (to == k), minlength=len(known)).astype(np.int64) for k in (False, True)]
+    two, one = [], []
+    for k in (False, True):
+        weights = np.where(to == k, times, 0).astype(np.float64)
+        two.append(np.bincount(pair, weights=weights, minlength=n).astype(np.int64))
+        one.append(np.bincount(of, weights=weights, minlength=len(known)).astype(np.int64))
+    del of, to, times, weights
     if len(hot):
         at = np.minimum(np.searchsorted(hot, known), len(hot) - 1)
         for k in (0, 1):
             one[k] = np.where(hot[at] == known, hot_counts[k, at], one[k])
-    one = [x[word] for x in one]
     ends, edges = np.cumsum(n_pairs), np.cumsum(n_words)
     return [
-        _dump(*_narrow(two[0][b - n : b]), *_narrow(two[1][b - n : b]), *_narrow(one[0][e - m : e]), *_narrow(one[1][e - m : e]))
+        _dump(*_narrow(two[0][pair[b - n : b]]), *_narrow(two[1][pair[b - n : b]]), *_narrow(one[0][word[e - m : e]]), *_narrow(one[1][word[e - m : e]]))
         for b, n, e, m in zip(ends, n_pairs, edges, n_words, strict=True)
     ]
 
@@ -393,31 +439,31 @@ def scored(texts: DataFrame, model: Model, mu: float = MU) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, chunk = cells.value, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            b, ids, to = _bytes(batch), batch.column("doc_id").to_pylist(), batch.column("target").to_pylist()
-            for kind in (False, True):
-                mine = [i for i, t in enumerate(to) if t == kind]
-                for i, j in chunks([b[x] for x in mine], CHUNK):
-                    rows, own = [b[x] for x in mine[i:j]], [ids[x] for x in mine[i:j]]
-                    n, meta, asked = questions(rows, model.hot, parts)
-                    size, sums = np.array([len(x) for x in rows], dtype=np.int64), np.zeros((2, len(rows)))
-                    for cell, begin, at in cells_of(rows):
-                        some = np.flatnonzero(size[at : at + len(begin)])
-                        for k in (0, 1) if len(some) else ():
-                            sums[k, at + some] += np.add.reduceat(loss[k][cell], begin[some], dtype=np.float64)
-                    known = np.array([x is not None for x in own], dtype=np.uint8)
-                    own = np.array([x or 0 for x in own], dtype=np.int64)
-                    whole = _dump(own, known, size, n, sums[0], sums[1])
-                    out = [(chunk % parts, -1, struct.pack("<I", len(whole)) + whole + meta), *((p, p, x) for p, x in asked)]
-                    yield from pa.Table.from_arrays(
-                        [pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([kind] * len(out)), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())],
-                        names=["part", "chunk", "target", "place", "data"],
-                    ).to_batches(max_chunksize=1_000)
-                    chunk += 1
+        for kind, piece in sides(batches):
+            rows, own = _bytes(piece), piece.column("doc_id").to_pylist()
+            size, sums = np.array([len(x) for x in rows], dtype=np.int64), np.zeros((2, len(rows)))
+            for cell, begin, at in cells_of(rows):
+                some = np.flatnonzero(size[at : at + len(begin)])
+                for k in (0, 1) if len(some) else ():
+                    sums[k, at + some] += np.add.reduceat(loss[k][cell], begin[some], dtype=np.float64)
+            n, meta, asked = questions(rows, model.hot, parts)
+            del rows
+            known = np.array([x is not None for x in own], dtype=np.uint8)
+            own = np.array([x or 0 for x in own], dtype=np.int64)
+            whole = _dump(own, known, size, n, sums[0], sums[1])
+            out = [(chunk % parts, -1, struct.pack("<I", len(whole)) + whole + meta), *((p, p, x) for p, x in asked)]
+            del asked
+            yield from pa.Table.from_arrays(
+                [pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([kind] * len(out)), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())],
+                names=["part", "chunk", "target", "place", "data"],
+            ).to_batches(max_chunksize=1_000)
+            del out
+            chunk += 1
 
     def answer(rows: pa.Table) -> pa.Table:
         asked = rows.filter(pc.greater_equal(rows["place"], 0))
         said = answers(asked["data"].to_pylist(), asked["target"].to_numpy(), model.hot, model.hot_counts)
+        common.give_back()
         replies = asked.select(["chunk", "target", "place"]).append_column("data", pa.array(said, pa.binary()))
         return pa.concat_tables([rows.filter(pc.less(rows["place"], 0)).select(["chunk", "target", "place", "data"]), replies.cast(rows.select(["chunk", "target", "place", "data"]).schema)])
 
