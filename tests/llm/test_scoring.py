@@ -197,3 +197,18 @@ def test_memory_of_a_task(spark, monkeypatch, step, most):
         assert rows > 0 and tracemalloc.get_traced_memory()[1] / 1e6 < most
     finally:
         tracemalloc.stop()
+
+
+def test_cells_are_handed_on_before_they_are_full(monkeypatch):
+    def sums():
+        total = Counter()
+        batches = [pa.record_batch({"text": ["the cat sat"] * 7 + [None, ""], "target": [k % 2 == 0 for k in range(9)]})] * 5
+        rows = [r for x in scoring.counted(batches) for r in x.to_pylist()]
+        for r in rows:
+            total.update({(r["kind"], r["key"], k): r[k] for k in ("background", "target")})
+        return len(rows), total
+
+    few, whole = sums()
+    monkeypatch.setattr(scoring, "MOST", 100)
+    many, parts = sums()
+    assert many > few and parts == whole
